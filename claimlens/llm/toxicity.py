@@ -113,7 +113,7 @@ def _softplus(z: float) -> float:
 
 
 def fit(texts: list[str], labels: list[int], *, min_docs: int | None = None, min_odds: float = 4.0, steps: int = 200, refit: int = 1500, rate: float = 0.1, l1: float = 5e-4) -> ToxicityModel:
-    """Proximal Adam on the mean noisy-or log-loss, both classes weighing the same; weights are never negative, as a word
+    """Proximal Adam on the mean noisy-or log-loss; weights are never negative, as a word
     that lowers a score could hide an offence elsewhere in its sentence.
 
     Candidates are features of ``min_docs`` toxic documents (an eighth of them, from 2 to 10) that favour them by ``min_odds``; the L1 penalty picks among
@@ -139,7 +139,7 @@ def fit(texts: list[str], labels: list[int], *, min_docs: int | None = None, min
             sent_doc.append(d)
     sent_doc, feat_sent, feat = np.asarray(sent_doc, np.int64), np.asarray(feat_sent, np.int64), np.asarray(feat, np.int64)
     n, nd = len(vocab), len(texts)
-    share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
+    share = np.full(nd, 1 / nd)
     w, b = np.zeros(n), -8.0
     for penalty, n_steps in ((l1, steps), (0.0, refit)):
         live = np.flatnonzero(w > 0.05) if not penalty else np.arange(n)
