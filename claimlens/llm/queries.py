@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, knlm, linededup, media, neardup, packing, tokcount, toxicity
+from . import decontam, knlm, linededup, lmscore, media, neardup, packing, tokcount, toxicity
 from .common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = remainder(10)
+    out = lmscore.score_texts(table(spark, sf_dir, "documents"), rest != 0)
+    return out.select("doc_id", (rest == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
