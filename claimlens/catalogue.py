@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import claim_queries, log_queries, metric_queries, repo_queries, verdict_queries  # noqa: F401
+from .plans import claim_queries, layout_queries, log_queries, metric_queries, repo_queries, verdict_queries  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
 
 
