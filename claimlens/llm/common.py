@@ -90,6 +90,18 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def sample_ids(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """At most ``n`` distinct values of ``key``: those with the smallest hashes, the same for the same rows.
+
+    Only keys move, and a cut of the hashes at about 1.3 n keys comes first, so what is sorted does not grow with the rows.
+    """
+    ids = rows.select(key).filter(F.col(key).isNotNull())
+    total = ids.count()
+    if total > 2 * n:
+        ids = ids.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * 1.3 * n / total))
+    return ids.distinct().orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(n)
+
+
 def blocks_for(rows: int, per_block: int) -> int:
     return max(1, -(-rows // per_block))
 
