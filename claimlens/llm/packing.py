@@ -12,8 +12,10 @@ null doc_id is packed and returned as null.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from .common import blocks_for, body
 
 PACK_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words that a worker remembers with their ids.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_300_000
 
 
 def difference(weights: list[int], m: int) -> list[list[int]]:
@@ -69,45 +71,95 @@ def difference(weights: list[int], m: int) -> list[list[int]]:
 
 
 def fill(weights: list[int], capacity: int) -> list[list[int]]:
-    """Parts of at most ``capacity``; the fewest that differencing manages, counting up from the least possible."""
-    m = max(1, -(-sum(weights) // capacity))
+    """Parts of at most ``capacity``: the count starts at the least possible and rises while a part exceeds it, by as many
+    as the imbalance just seen needs, at least one."""
+    total = sum(weights)
+    m = max(1, -(-total // capacity))
     while True:
         parts = difference(weights, m)
-        if all(sum(weights[i] for i in p) <= capacity for p in parts):
+        most = max((sum(weights[i] for i in p) for p in parts), default=0)
+        if most <= capacity:
             return [p for p in parts if p]
-        m += 1
+        room = max(1.0, capacity - (most - total / m))
+        m = max(m + 1, min(2 * m, int(total / room)))
 
 
+#: Characters of words that are split here: printable Latin-1 but the apostrophe (contractions) and "<" (special strings).
+#: They are composed already, and lower() changes them one by one. Any other word goes to the library as it is.
+PLAIN = re.compile(r"[\x21-\x26\x28-\x3b\x3d-\x7e\xa1-\xff]+")
+PIECE = re.compile(r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
 _STATE: dict = {}
 
 
-def word_ids(path: str):
-    """text bytes -> its ids as little-endian 32-bit bytes, through a memo of white-space separated words.
+class WordIds:
+    """Text bytes -> its ids as little-endian 32-bit bytes, through a memo of words.
 
-    Exact for this vocabulary: normalisation and pre-tokens never reach across ASCII white space, and white space gives
-    no token.
+    Exact for this vocabulary: normalisation and pre-tokens never reach across ASCII white space, white space gives no
+    token, and the last id of each pre-token, and no other, carries the end-of-word mark. So all pre-tokens that are new
+    are encoded in one call, with spaces between them, and told apart by that mark.
     """
-    from tokenizers import Tokenizer
 
-    if _STATE.get("path") != path:
-        _STATE.update(path=path, tok=Tokenizer.from_file(path), memo={})
-    tok = _STATE["tok"]
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        memo = _STATE["memo"]
-        words = [t.split() for t in texts]
-        missing = list({w for ws in words for w in ws if w not in memo})
-        if len(memo) + len(missing) > CACHE_WORDS:
-            memo.clear()
-            missing = list({w for ws in words for w in ws})
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                memo[w] = np.asarray(e.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
-
-    return encode
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+
+    @classmethod
+    def load(cls, path: str) -> WordIds:
+        if _STATE.get("path") != path:
+            _STATE.update(path=path, ids=cls(path))
+        return _STATE["ids"]
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, many to a call."""
+        out: list[bytes] = []
+        joined = [" ".join(pieces[k : k + 400]) for k in range(0, len(pieces), 400)]
+        for k in range(0, len(joined), 16):
+            for e in self.tok.encode_batch_fast(joined[k : k + 16], add_special_tokens=False):
+                ids = np.asarray(e.ids, "<u4")
+                cut = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+                out += map(ids.tobytes().__getitem__, map(slice, [0, *cut], cut))
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        memo = self.words
+        letters = {w for w in words if w.isalpha()}  # ASCII letters: one pre-token, lowered already or by the library
+        rest = words - letters
+        # the same with one comma or stop behind them: two pre-tokens
+        tailed = [w for w in rest if w[-1:] in (b",", b".") and w[:-1].isalpha()]
+        letters.update(x for x in (w[:-1] for w in tailed) if x not in memo)
+        letters.update((b",", b"."))
+        memo.update(zip(letters, self._encoded(b" ".join(letters).decode().split(" ")), strict=True))
+        memo.update((w, memo[w[:-1]] + memo[w[-1:]]) for w in tailed)
+        split: list[tuple[bytes, list[bytes]]] = []
+        other: list[bytes] = []
+        for w in rest.difference(tailed):
+            s = w.decode(errors="replace")
+            if PLAIN.fullmatch(s):
+                split.append((w, [p.encode() for p in PIECE.findall(s.lower())]))
+            else:
+                other.append(w)
+        new = list({p for _, ps in split for p in ps if p not in memo})
+        memo.update(zip(new, self._encoded([p.decode() for p in new]), strict=True))
+        for w, ps in split:
+            memo[w] = b"".join([memo[p] for p in ps])
+        for w, e in zip(other, self.tok.encode_batch_fast([w.decode(errors="replace") for w in other], add_special_tokens=False), strict=True):
+            self.words[w] = np.asarray(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        # lowering A-Z first keeps the memo smaller; it must not turn other text into a special string
+        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set().union(*cut).difference(self.words)
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = set().union(*cut)
+        self._learn(new)
+        # itemgetter looks all words up in one call; it returns no tuple for a single one
+        return [b"".join(itemgetter(*ws)(self.words)) if len(ws) > 1 else b"".join(self.words[w] for w in ws) for ws in cut]
 
 
 def tokenized(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
@@ -116,7 +168,7 @@ def tokenized(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import slices
 
-        encode, end = word_ids(vocabulary), np.asarray([end_id], "<u4").tobytes()
+        encode, end = WordIds.load(vocabulary), np.asarray([end_id], "<u4").tobytes()
         for batch in slices(batches, "body", 2_000_000):
             counts, crcs = [], []
             for ids in encode(batch.column(1).to_pylist()):
@@ -128,7 +180,7 @@ def tokenized(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> D
     return docs.select("doc_id", body().alias("body")).mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
 
 
-def pack(docs: DataFrame, vocabulary: str, *, capacity: int = 4096, end_id: int = 2, per_block: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, capacity: int = 4096, end_id: int = 2, per_block: int = 500) -> DataFrame:
     """One row per piece; sequence_id = block * 2^32 + number inside the block."""
     rows = docs.select("doc_id").count()
     n_blocks = blocks_for(rows, per_block)
