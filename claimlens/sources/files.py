@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,8 +120,6 @@ def read_recipes(spark: SparkSession, text: str) -> DataFrame:
 
 def glue_numbers(page: DataFrame, text: str = "text") -> DataFrame:
     """Page text in compatibility form (NFKC), split decimals (59 .5) mended, plus-minus signs spaced."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def compatible(t: pd.Series) -> pd.Series:
         return t.str.normalize("NFKC")
