@@ -18,7 +18,7 @@ FRAMEWORKS = [
 ]
 CODE_WORDS = r"(?iU)\b(code|implementation|available|released|open[- ]source|reproduc|repository)\b"
 # ------------------------------------------------------------------------------------------------------------------
-ARXIV_MENTION = r"(?i)arxiv(?:\.org/(?:abs|pdf)/|:\s*)(\d{4}\.\d{4,5})"
+ARXIV_MENTION = r"(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv:\s*)(\d{4}\.\d{4,5}|[a-z][a-z.\-]+/\d{7})"
 
 
 def arxiv_id(target: Column) -> Column:

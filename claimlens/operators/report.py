@@ -108,3 +108,20 @@ def tables_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
     rule = bar(F.array_repeat(F.lit("---"), F.size("cs") + 1))
     out = rows.groupBy(*keys).agg(F.min_by(F.struct(head.alias("h"), rule.alias("r")), "row_index").alias("t"), F.array_sort(F.collect_list(F.struct("row_index", line.alias("line")))).alias("ls"))
     return out.select(*keys, F.concat_ws("\n", "t.h", "t.r", F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("markdown"))
+
+
+def markdown(comparisons: DataFrame, checks: DataFrame, key: str) -> DataFrame:
+    """A report per study: a table of its current comparisons and what was not checked."""
+    safe = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", safe("claim_id"), safe("label"), safe("headline")), F.lit(" |"))
+    table = comparisons.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_id", row.alias("r")))), lambda x: x["r"]), "\n").alias("t"))
+    rest = checks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(F.lit("- "), x["text"])), "\n").alias("c"))
+    parts = [F.lit("| Claim | Verdict | Summary |\n|---|---|---|"), F.col("t"), F.lit("\n## Not checked\n"), F.coalesce("c", F.lit("- nothing"))]
+    return table.join(rest, key, "left").select(key, F.concat_ws("\n", *parts).alias("report"))
+
+
+def gallery_table(recipes: DataFrame, vetted: DataFrame, key: str) -> DataFrame:
+    """A line per recipe with what its check found, in the recipes' order."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    rows = recipes.join(vetted, key, "left")
+    return rows.select(key, "ord", F.concat(F.lit("| "), F.concat_ws(" | ", F.col(key), cell("title"), cell("verdict"), cell("mean")), F.lit(" |")).alias("line"))

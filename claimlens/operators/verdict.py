@@ -183,6 +183,18 @@ def reasoning() -> Column:
     return F.array_compact(F.array(*sentences))
 
 
+def headline() -> Column:
+    """One sentence for a row of ``compare``: verdict, claim, measurement and gap."""
+    num = compact_number
+    unit = F.when(F.col("claim_pct"), F.lit("%")).otherwise(F.lit(""))
+    ranged = F.col("t_lo") != F.col("t_hi")
+    aim = F.when(ranged, F.concat(num(F.col("t_lo")), unit, F.lit(" to "), num(F.col("t_hi")), unit)).otherwise(F.concat(num(F.col("t_mid")), unit))
+    runs = F.when(F.col("n") > 1, F.concat(F.lit(" (mean of "), F.col("n").cast("string"), F.lit(" runs)"))).otherwise(F.lit(""))
+    gap = F.when(F.col("distance") == 0, F.when(ranged, F.lit("inside the claimed range")).otherwise(F.lit("an exact match"))).otherwise(F.concat(num(F.col("distance")), F.lit(" away")))
+    bound = F.when(F.col("band") == "not_reproduced", F.concat(F.lit("beyond "), num(F.col("close_abs")))).otherwise(F.concat(F.lit("tolerance "), num(F.col("tol_abs"))))
+    return F.concat(F.col("label"), F.lit(": "), F.col("metric"), F.lit(" claimed "), aim, F.lit(", measured "), num(F.col("mean")), unit, runs, F.lit(", "), gap, F.lit(" ("), bound, F.lit(")."))
+
+
 def blocking_reason(kind: Column, error: Column, timed_out: Column) -> Column:
     """Why nothing was measured; kind is env, run or null, error the whole stderr (its last 200,000 characters count)."""
     text = F.coalesce(F.right(error, F.lit(200_000)), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import geometry, layout, report
+from ..operators import geometry, layout, paper, report
 from .registry import query, table
 
 
@@ -126,3 +126,24 @@ def line_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
     return s.mapInPandas(lambda parts: map(run, parts), "s_suppkey long, n_lines long, words array<string>")
+
+
+@query("""
+SELECT s_suppkey, x.r AS "row", x.c AS "column", x.v AS value, x.pm AS plus_minus, 'accuracy' AS metric, 0.3::DOUBLE AS confidence_score FROM supplier, LATERAL (SELECT
+  unnest(['GCN', 'GCN', 'Ours']) AS r, unnest(['SetA', 'SetB', 'SetA']) AS c, unnest([s_nationkey + 0.5::DOUBLE, CAST(s_suppkey AS DOUBLE), CAST(s_nationkey AS DOUBLE)]) AS v, unnest([NULL, NULL, 0.25])::DOUBLE AS pm) x
+""")
+def text_table_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda c: F.col(c).cast("string")
+    text = F.concat(F.lit("Some prose.\nTable 2: Accuracies of models\nModel SetA SetB\nGCN [3] "), s("s_nationkey"), F.lit(".5 (7s) "), s("s_suppkey"), F.lit("\nOurs "), s("s_nationkey"), F.lit(" ± 0.25 –\nThe table shows 3 things.\nLate 4 5"))
+    pages = table(spark, sf_dir, "supplier").select(s("s_suppkey").alias("doc"), F.lit(1).alias("page"), text.alias("text"))
+    return paper.text_table_claims(pages).select(F.col("doc").cast("long").alias("s_suppkey"), "row", "column", "value", "plus_minus", "metric", "confidence_score")
+
+
+@query("""
+SELECT s_suppkey, reader, count(*) AS n FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'layout' ELSE 'text' END AS reader, unnest(CASE WHEN s_nationkey % 2 = 0 THEN [1, 2, 3, 4] ELSE [1] END) FROM supplier) GROUP BY ALL
+""")
+def table_reader_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    words = _grid_pages(s.filter("s_nationkey % 2 = 0"))
+    texts = s.select(F.col("s_suppkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.lit("Table 1: Accuracy\nNet 5.5").alias("text"))
+    return paper.paper_tables(words, texts).groupBy(F.col("doc").cast("long").alias("s_suppkey"), "reader").agg(F.count(F.lit(1)).alias("n"))

@@ -150,3 +150,12 @@ def report_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = n.limit(0).select("study", F.col("name").alias("x"))
     doc = report.assemble(n, none, none, "study")
     return doc.select("study", F.to_json(F.struct(F.from_json("report", "claims array<struct<id int, name string>>")["claims"].alias("claims"))).alias("claims"))
+
+
+@query("""
+SELECT CAST(n_regionkey AS BIGINT) AS study, concat('| Claim | Verdict | Summary |', chr(10), '|---|---|---|', chr(10), string_agg(concat('| ', n_name, ' | PARTIAL | near |'), chr(10) ORDER BY n_name), chr(10), chr(10), '## Not checked', chr(10), chr(10), '- ', min(n_nationkey), ' left') AS report FROM nation GROUP BY 1
+""")
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("study"), F.col("n_name").alias("claim_id"), F.lit("PARTIAL").alias("label"), F.lit("near").alias("headline"), "n_nationkey")
+    checks = n.groupBy("study").agg(F.min("n_nationkey").alias("k")).select("study", F.lit(0).alias("rank"), F.concat(F.col("k").cast("string"), F.lit(" left")).alias("text"))
+    return report.markdown(n, checks, "study")

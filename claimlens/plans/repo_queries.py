@@ -327,3 +327,24 @@ def search_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     reply = F.concat(F.lit('{"total_count": 1, "items": [{"full_name": "o/n'), "page_id", F.lit('", "stargazers_count": '), F.col("page_id") * 2, F.lit(', "description": null}]}'))
     return p.select("page_id", F.explode(links.search_reply(reply)).alias("r")).select("page_id", "r.repo", "r.stars")
+
+
+@query("""
+SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'environment.yml' END AS requirements, s_nationkey % 3 = 2 AS install_project FROM supplier
+""")
+def environment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_nationkey") % 3
+    paths = F.when(k == 0, F.array(F.lit("setup.py"), F.lit("environment.yml"), F.lit("requirements.txt"))).when(k == 1, F.array(F.lit("environment.yml"), F.lit("sub/requirements.txt"))).otherwise(F.array(F.lit("setup.py"), F.lit("README.md")))
+    deps = inventory.dependency_files(s.select(F.col("s_suppkey").cast("string").alias("repo"), F.explode(paths).alias("path")))
+    return inventory.environment_plan(deps).select(F.col("repo").cast("long").alias("s_suppkey"), "requirements", "install_project")
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'try a newer Python' WHEN 1 THEN 'raise the time limit' WHEN 2 THEN 'the pins cannot be resolved: try their Python version, then without pins'
+  WHEN 3 THEN 'a newer Python, or no pins, may allow a ready-built release' END AS hint FROM events
+""")
+def environment_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 5
+    error = F.when(k == 2, "No solution found").when(k == 3, "Failed to build x").otherwise("odd")
+    hint = inventory.environment_hint(F.when(k == 0, "create venv").otherwise("install"), error, k == 1, F.lit(False))
+    return e.select("event_id", hint.alias("hint"))

@@ -203,3 +203,15 @@ def verdict_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = _claims(parts, claim_id=key, metric=F.lit("size"), value=F.col("p_size"), value_text=F.col("p_size").cast("string"), part=F.col("p_partkey"))
     out = verdict.compare(claims, _measured(parts, key, F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 10)))
     return out.select(F.col("part").cast("long").alias("p_partkey"), F.slice(verdict.reasoning(), 1, 3).alias("said"))
+
+
+@query("""
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('REPRODUCED: size claimed ', p_size, ', measured ', p_size, ', an exact match (tolerance 0.5).')
+  ELSE concat('NOT REPRODUCED: size claimed ', p_size, ', measured ', p_size + 10, ', 10 away (beyond 1.5).') END AS headline FROM part
+""")
+def verdict_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    claims = _claims(parts, claim_id=key, metric=F.lit("size"), value=F.col("p_size"), value_text=F.col("p_size").cast("string"), part=F.col("p_partkey"))
+    out = verdict.compare(claims, _measured(parts, key, F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 10)))
+    return out.select(F.col("part").cast("long").alias("p_partkey"), verdict.headline().alias("headline"))
