@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body
+from .common import body, sample_ids
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -116,24 +116,27 @@ def fit(texts: list[str], labels: list[int], *, min_docs: int | None = None, min
     """Proximal Adam on the mean noisy-or log-loss; weights are never negative, as a word
     that lowers a score could hide an offence elsewhere in its sentence.
 
-    Candidates are features of ``min_docs`` toxic documents (an eighth of them, from 2 to 10) that favour them by ``min_odds``; the L1 penalty picks among
+    Candidates are features of ``min_docs`` toxic documents (a sixteenth of them, from 2 to 10) that favour them by ``min_odds``; the L1 penalty picks among
     them, and a second pass refits the weights without it."""
     y = np.asarray(labels, bool)
     if not y.any() or y.all():
         return ToxicityModel()
-    min_docs = min_docs or max(2, min(10, int(y.sum()) // 8))
-    bags = []
+    min_docs = min_docs or max(2, min(10, int(y.sum()) // 16))
+
+    def words_of(text: str) -> Iterator[set[str]]:
+        """The distinct words of each sentence; made anew for each pass, as all features together would fill the driver."""
+        return (set(WORD.findall(s)) for s in SENTENCE.findall(text.lower()) if not s.isspace())
+
     df: tuple[Counter, Counter] = (Counter(), Counter())
     for t, toxic in zip(texts, y, strict=True):
-        sents = [[f for w in sorted(set(WORD.findall(s))) for f in features(w)] for s in SENTENCE.findall(t.lower()) if not s.isspace()]
-        bags.append(sents)
-        df[int(toxic)].update(set().union(*sents))
+        df[int(toxic)].update({f for w in set().union(*words_of(t)) for f in features(w)})
     odds = lambda w: (df[1][w] + 0.5) / y.sum() / ((df[0][w] + 0.5) / (~y).sum())
     vocab = {w: k for k, w in enumerate(sorted(w for w, c in df[1].items() if c >= min_docs and odds(w) >= min_odds))}
+    del df
     sent_doc, feat_sent, feat = [], [], []
-    for d, sents in enumerate(bags):
-        for s in sents:
-            ks = [vocab[w] for w in s if w in vocab]
+    for d, t in enumerate(texts):
+        for s in words_of(t):
+            ks = sorted(vocab[f] for w in s for f in features(w) if f in vocab)
             feat += ks
             feat_sent += [len(sent_doc)] * len(ks)
             sent_doc.append(d)
@@ -176,10 +179,13 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, *, max_per_cla
     """Fit on a bounded sample of the labelled documents for which ``learn_from`` (over doc_id) holds."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(learn_from)
     texts = docs.select("doc_id", "text").filter((F.length("text") <= max_chars) & (F.length("text") > 0))
-    known = texts.join(marks, "doc_id").dropDuplicates(["doc_id"]).withColumn("order", F.xxhash64("doc_id"))
+    known = texts.select("doc_id").join(marks, "doc_id")
     rows = []
     for label in (0, 1):
-        rows += known.filter(F.col("toxic") == label).orderBy("order", "doc_id").limit(max_per_class).select("text", "toxic").collect()
+        chosen = sample_ids(known.filter(F.col("toxic") == label), max_per_class)
+        # at most max_per_class ids are broadcast
+        found = texts.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text").collect()
+        rows += [(r[0], label) for r in found]
     return fit([r[0] for r in rows], [r[1] for r in rows])
 
 
