@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -11,9 +11,10 @@ from ..operators import extract, select
 from ..sources import files
 from .registry import query, table
 
-#: events.value cut to two decimals as text: whole part, point, two digits
-CENTS = F.expr("cast(floor(abs(value) * 100) as bigint)")
-DECIMAL = F.concat(F.expr("cast(floor(abs(value) * 100) as bigint) div 100").cast("string"), F.lit("."), F.lpad((CENTS % 100).cast("string"), 2, "0"))
+def decimal_text() -> Column:
+    """events.value, without its sign, cut to two decimals: whole part, point, two digits."""
+    cents = F.floor(F.abs("value") * 100)
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
 def _long(df: DataFrame, *cols: str) -> DataFrame:
@@ -28,7 +29,7 @@ SELECT event_id, 'accuracy', 'acc', CAST(event_id % 100 AS DOUBLE), true, CAST(2
 """)
 def metric_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    text = F.concat(F.lit("step "), F.col("event_id"), F.lit(": val loss "), DECIMAL, F.lit("\nacc="), F.col("event_id") % 100, F.lit("% after all\nlossless 3.11 build")).alias("text")
+    text = F.concat(F.lit("step "), F.col("event_id"), F.lit(": val loss "), decimal_text(), F.lit("\nacc="), F.col("event_id") % 100, F.lit("% after all\nlossless 3.11 build")).alias("text")
     out = extract.text_values(extract.lines(e.select("event_id", text)))
     return _long(out.select("event_id", "name", "raw_name", "value", "percent", "line"), "line")
 
@@ -50,7 +51,7 @@ UNION ALL SELECT event_id, 'p@1', floor(abs(value) * 100) / 100.0, CAST(2 AS BIG
 """)
 def metric_kv_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    text = F.concat(F.lit("episodic_return=["), "user_id", F.lit(".]\nP@1\t"), DECIMAL)
+    text = F.concat(F.lit("episodic_return=["), "user_id", F.lit(".]\nP@1\t"), decimal_text())
     out = extract.text_values(extract.lines(e.select("event_id", text.alias("text"))))
     return _long(out.select("event_id", "name", "value", "line"), "line")
 
