@@ -98,19 +98,18 @@ def json_values(docs: DataFrame, text: str = "text", depth: int = 12, keep: list
     many = whole.filter(F.col("_v").isNull() & F.col(text).isNotNull()).select(*keep, F.posexplode(split_lines(F.col(text))).alias("_at", "_body"))
     many = many.select(*keep, _one_json(F.col("_body")).alias("_v"), F.array("_body").alias("_lines"), (F.col("_at") + 1).alias("_line")).filter("_v is not null")
     level = one.unionByName(many).select(*keep, "_lines", "_line", F.lit("").alias("_path"), "_v", F.array().cast("array<int>").alias("_pos"))
-    leaves = None
+    children = docs.sparkSession.tvf.variant_explode_outer(F.col("_v").outer())
     for _ in range(depth):
-        kind = F.schema_of_variant("_v")
-        leaf = level.filter(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
-        found = leaf.select(*keep, "_lines", "_line", "_path", F.try_variant_get("_v", "$", "double").alias("value"), "_pos")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        inner = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        inner.createOrReplaceTempView("_json_level")
-        names = ", ".join(f"`{c}`" for c in keep)
-        deeper = inner.sparkSession.sql(f"SELECT {names + ',' if names else ''} _lines, _line, _path, _pos, pos, key, value FROM _json_level, LATERAL variant_explode(_v)")
-        deeper = deeper.filter(F.col("key").isNotNull() | (F.col("pos") < MAX_ITEMS))
-        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("_path") != "", F.lit(".")).otherwise(F.lit("")), F.col("key")))
-        level = deeper.select(*keep, "_lines", "_line", F.concat("_path", step).alias("_path"), F.col("value").alias("_v"), F.concat("_pos", F.array("pos")).alias("_pos"))
+        # a container becomes its children, anything else stays: one generator a level, and one scan in all
+        open_ = level.lateralJoin(children.toDF("_at", "_key", "_child"))
+        open_ = open_.filter(F.col("_at").isNull() | F.col("_key").isNotNull() | (F.col("_at") < MAX_ITEMS))
+        index = F.concat(F.lit("["), F.col("_at").cast("string"), F.lit("]"))
+        step = F.when(F.col("_key").isNull(), index).otherwise(F.concat(F.when(F.col("_path") != "", F.lit(".")).otherwise(F.lit("")), F.col("_key")))
+        done = F.col("_at").isNull()
+        path, v = F.when(done, F.col("_path")).otherwise(F.concat("_path", step)), F.when(done, F.col("_v")).otherwise(F.col("_child"))
+        level = open_.select(*keep, "_lines", "_line", path.alias("_path"), v.alias("_v"), F.when(done, F.col("_pos")).otherwise(F.concat("_pos", F.array("_at"))).alias("_pos"))
+    numeric = F.schema_of_variant("_v").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    leaves = level.filter(numeric).withColumn("value", F.try_variant_get("_v", "$", "double"))
     leaf_key = F.element_at(F.split(F.regexp_replace("_path", r"\[\d+\]$", ""), r"\."), -1)
     quoted = F.concat(F.lit('"'), leaf_key, F.lit('"'))
     first = F.array_position(F.transform("_lines", lambda x: F.contains(x, quoted)), F.lit(True))
