@@ -133,7 +133,7 @@ def benchmark_slabs(benchmark: DataFrame, slab_chars: int) -> Iterator[list[tupl
         yield slab
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.05, slab_chars: int = SLAB_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, slab_chars: int = SLAB_CHARS) -> DataFrame:
     """One row per document row and item found in it; match_start and match_end count in the normalised text."""
     docs = docs.select("doc_id", body().alias("body"))
     out = None
@@ -154,7 +154,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.05, sla
     return out if out is not None else docs.sparkSession.createDataFrame([], MATCH_SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.05) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08) -> DataFrame:
     """The documents that hold no benchmark item; all columns stay."""
     leaked = find_leaks(docs, benchmark, rate=rate).select(F.col("doc_id").alias("leaked_id")).distinct()
     return docs.join(leaked, docs["doc_id"] == leaked["leaked_id"], "left_anti")
