@@ -53,11 +53,12 @@ def text_values(rows: DataFrame, body: str = "body", keep: list[str] | None = No
     nothing = F.lit("")
     vocabulary = F.filter(vocabulary_matches(line), lambda x: (x["den"] == "") | ~x["den"].rlike("^0+$"))
     as_hit = lambda x, rank, den, pct: F.struct(F.lit(rank).alias("rank"), x["start"].alias("start"), x["raw"].alias("raw"), x["name"].alias("name"), x["value"].alias("value"), den.alias("den"), pct.alias("pct"))
-    free = lambda pattern: F.filter(matches(line, pattern, ["name", "value"]), lambda x: ~overlaps(x, F.col("_m")))
+    # a line without the pattern's own sign need not be searched
+    free = lambda pattern, sign: F.filter(matches(F.when(F.contains(line, F.lit(sign)), line).otherwise(nothing), pattern, ["name", "value"]), lambda x: ~overlaps(x, F.col("_m")))
     hits = F.concat(
         F.transform("_m", lambda x: as_hit(x, 0, x["den"], x["pct"])),
-        F.transform(free(KEY_VALUE), lambda x: as_hit(x, 1, nothing, nothing)),
-        F.transform(free(KEY_TAB), lambda x: as_hit(x, 2, nothing, nothing)),
+        F.transform(free(KEY_VALUE, "="), lambda x: as_hit(x, 1, nothing, nothing)),
+        F.transform(free(KEY_TAB, "\t"), lambda x: as_hit(x, 2, nothing, nothing)),
     )
     out = rows.withColumn("_m", vocabulary).select(*keep, "line", F.substring(strip(F.col(body)), 1, MAX_TEXT).alias("text"), F.explode(hits).alias("h"))
     value, den = number(F.col("h.value")), number(F.col("h.den"))
