@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims
-from .registry import query, table
+from .registry import query, spread, table
 
 
 
@@ -35,7 +35,7 @@ SELECT p_partkey, metric, value, lo, hi, plus_minus, percent, kind, line FROM pa
   unnest([true, false, false, true]) AS percent, unnest(['prose', 'prose', 'prose', 'code']) AS kind, unnest([1, 2, 2, 5])::BIGINT AS line)
 """)
 def claims_range_pm_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     s = F.col("p_size").cast("string")
     text = F.concat(F.lit("Test accuracy lies between "), s, F.lit(" and "), (F.col("p_size") + 1).cast("string"), F.lit(".5%.\nF1 of "), s, F.lit(".5 ± 0.4, best validation loss is "), s, F.lit(".25\n```\npython run.py --loss=3\naccuracy: "), s, F.lit("%\n```"))
     out = claims.markdown_claims(p.select("p_partkey", text.alias("text")), "p_partkey")

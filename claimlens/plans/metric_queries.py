@@ -9,7 +9,7 @@ from ..functions import names
 from ..functions.text import compact_number, duration, tail
 from ..operators import extract, select
 from ..sources import files
-from .registry import query, table
+from .registry import query, spread, table
 
 def decimal_text() -> Column:
     """events.value, without its sign, cut to two decimals: whole part, point, two digits."""
@@ -28,7 +28,7 @@ UNION ALL
 SELECT event_id, 'accuracy', 'acc', CAST(event_id % 100 AS DOUBLE), true, CAST(2 AS BIGINT) FROM events
 """)
 def metric_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "value"))
     text = F.concat(F.lit("step "), F.col("event_id"), F.lit(": val loss "), decimal_text(), F.lit("\nacc="), F.col("event_id") % 100, F.lit("% after all\nlossless 3.11 build")).alias("text")
     out = extract.text_values(extract.lines(e.select("event_id", text)))
     return _long(out.select("event_id", "name", "raw_name", "value", "percent", "line"), "line")
@@ -39,7 +39,7 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 'accuracy' AS n
   concat(l_linenumber, '/7') AS fraction, false AS percent FROM lineitem
 """)
 def metric_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
     text = F.concat(F.lit("Accuracy: "), "l_linenumber", F.lit("/7 (9%)"), F.lit("\nloss=4/0"))
     out = extract.text_values(extract.lines(li.select("l_orderkey", "l_linenumber", text.alias("text")))).filter("name = 'accuracy'")
     return _long(out.select("l_orderkey", "l_linenumber", "name", "value", "fraction", "percent"), "l_linenumber")
@@ -50,7 +50,7 @@ SELECT event_id, 'episodic_return' AS name, CAST(user_id AS DOUBLE) AS value, CA
 UNION ALL SELECT event_id, 'p@1', floor(abs(value) * 100) / 100.0, CAST(2 AS BIGINT) FROM events
 """)
 def metric_kv_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "value"))
     text = F.concat(F.lit("episodic_return=["), "user_id", F.lit(".]\nP@1\t"), decimal_text())
     out = extract.text_values(extract.lines(e.select("event_id", text.alias("text"))))
     return _long(out.select("event_id", "name", "value", "line"), "line")
@@ -62,7 +62,7 @@ LATERAL (SELECT unnest(['train_loss', 'val_loss', 'lr']) AS name, unnest([user_i
   unnest([1, 2, 3])::BIGINT AS ord) x
 """)
 def metric_order_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id"))
     text = F.concat(F.lit("lr="), "event_id", F.lit(".125 train loss "), "user_id", F.lit(".5, val loss "), "user_id", F.lit(".25"))
     out = extract.text_values(extract.lines(e.select("event_id", text.alias("text"))))
     by_id = out.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "value"))).alias("x"))

@@ -23,3 +23,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than cores, dealt to all of them ahead of heavy work on each row.
+
+    A table of many splits is left as it is, so nothing is shuffled where it would cost anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()  # noqa: SLF001
+    return df.repartition(cores) if splits < cores else df

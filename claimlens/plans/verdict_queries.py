@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract, report, select, verdict
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _claims(df: DataFrame, **given: F.Column) -> DataFrame:
@@ -178,7 +178,7 @@ SELECT event_type, count(*) AS n, round(avg(last), 6) AS mean, CASE WHEN abs(avg
 """)
 def verdict_from_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path: log lines, values, the last value of each run, statistics, claim, verdict."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_type", "user_id", "event_id"))
     text = F.concat(F.lit("epoch done, test accuracy: "), F.col("event_id") % 100, F.lit("%"))
     rows = e.select("event_type", "user_id", "event_id", text.alias("text"))
     values = extract.text_values(extract.lines(rows)).withColumn("at", F.col("event_id"))
