@@ -25,56 +25,53 @@ from pyspark.sql import functions as F
 from .common import blocks_for, body
 
 PACK_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Share of the windows that is expected to stay empty.
+START_ROOM = 0.02
 #: Words that a worker remembers with their ids.
 CACHE_WORDS = 1_300_000
 
 
 def difference(weights: list[int], m: int) -> list[list[int]]:
-    """The indices of ``weights`` in ``m`` parts of nearly equal sums, by multiway largest differencing."""
-    if not weights:
-        return [[] for _ in range(m)]
-    left: list[int] = []
-    right: list[int] = []
-    n = len(weights)
-    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    for i, w in enumerate(weights):
-        sums, nodes = np.zeros(m, np.int64), np.full(m, -1, np.int64)
-        sums[0], nodes[0] = w, i
-        heap.append((-w if m > 1 else 0, i, sums, nodes))
+    """The indices of ``weights`` in ``m`` parts of nearly equal sums, by multiway largest differencing.
+
+    A partial partition lists only its windows that hold something, fullest first, as (sum, node); a node is an item or a
+    pair of nodes. So the many early merges cost what they hold and not m.
+    """
+    n, pairs = len(weights), []
+    heap = [(-w if m > 1 else 0, i, [(w, i)]) for i, w in enumerate(weights)]
     heapq.heapify(heap)
-    turn = n
     while len(heap) > 1:
-        _, _, a, an = heapq.heappop(heap)
-        _, _, b, bn = heapq.heappop(heap)
-        b, bn = b[::-1], bn[::-1]
-        nodes = np.where(an >= 0, an, bn)
-        for k in np.flatnonzero((an >= 0) & (bn >= 0)).tolist():
-            nodes[k] = n + len(left)
-            left.append(int(an[k]))
-            right.append(int(bn[k]))
-        sums = a + b
-        order = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), turn, sums, nodes))
-        turn += 1
-    parts = []
-    for node in heap[0][3].tolist():
-        part, todo = [], [node] if node >= 0 else []
+        _, _, a = heapq.heappop(heap)
+        _, turn, b = heapq.heappop(heap)
+        p, q = len(a), len(b)
+        if p + q <= m:
+            merged = a + b
+        else:  # the fullest windows of one meet the emptiest of the other
+            merged = a[: m - q] + b[: m - p]
+            for (x, u), (y, v) in zip(a[m - q :], reversed(b[m - p :]), strict=True):
+                merged.append((x + y, n + len(pairs)))
+                pairs.append((u, v))
+        merged.sort(reverse=True)
+        least = merged[-1][0] if len(merged) == m else 0
+        heapq.heappush(heap, (least - merged[0][0], turn, merged))
+    parts: list[list[int]] = []
+    for _, node in heap[0][2] if heap else []:
+        part, todo = [], [node]
         while todo:
             x = todo.pop()
             if x < n:
                 part.append(x)
             else:
-                todo += (right[x - n], left[x - n])
+                todo += pairs[x - n][::-1]
         parts.append(part)
-    return parts
+    return parts + [[] for _ in range(m - len(parts))]
 
 
 def fill(weights: list[int], capacity: int) -> list[list[int]]:
-    """Parts of at most ``capacity``: the count starts at the least possible and rises while a part exceeds it, by as many
-    as the imbalance just seen needs, at least one."""
+    """Parts of at most ``capacity``: the count starts where they are full but for ``START_ROOM`` and rises while a part
+    exceeds the capacity, by as many as the imbalance just seen needs, at least one."""
     total = sum(weights)
-    m = max(1, -(-total // capacity))
+    m = max(1, -(-total // capacity), round(total * (1 + START_ROOM) / capacity))
     while True:
         parts = difference(weights, m)
         most = max((sum(weights[i] for i in p) for p in parts), default=0)
@@ -100,9 +97,13 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # the same merges for pre-tokens that are split and normalised already; white space parts them
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
@@ -119,7 +120,7 @@ class WordIds:
         out: list[bytes] = []
         joined = [" ".join(pieces[k : k + 400]) for k in range(0, len(pieces), 400)]
         for k in range(0, len(joined), 16):
-            for e in self.tok.encode_batch_fast(joined[k : k + 16], add_special_tokens=False):
+            for e in self.merges.encode_batch_fast(joined[k : k + 16], add_special_tokens=False):
                 ids = np.asarray(e.ids, "<u4")
                 cut = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
                 out += map(ids.tobytes().__getitem__, map(slice, [0, *cut], cut))
@@ -127,10 +128,10 @@ class WordIds:
 
     def _learn(self, words: set[bytes]) -> None:
         memo = self.words
-        letters = {w for w in words if w.isalpha()}  # ASCII letters: one pre-token, lowered already or by the library
+        letters = {w for w in words if w.isalpha() and w.islower()}  # ASCII letters: one pre-token
         rest = words - letters
         # the same with one comma or stop behind them: two pre-tokens
-        tailed = [w for w in rest if w[-1:] in (b",", b".") and w[:-1].isalpha()]
+        tailed = [w for w in rest if w[-1:] in (b",", b".") and w[:-1].isalpha() and w.islower()]
         letters.update(x for x in (w[:-1] for w in tailed) if x not in memo)
         letters.update((b",", b"."))
         memo.update(zip(letters, self._encoded(b" ".join(letters).decode().split(" ")), strict=True))
@@ -180,7 +181,7 @@ def tokenized(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> D
     return docs.select("doc_id", body().alias("body")).mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
 
 
-def pack(docs: DataFrame, vocabulary: str, *, capacity: int = 4096, end_id: int = 2, per_block: int = 500) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, capacity: int = 4096, end_id: int = 2, per_block: int = 1000) -> DataFrame:
     """One row per piece; sequence_id = block * 2^32 + number inside the block."""
     rows = docs.select("doc_id").count()
     n_blocks = blocks_for(rows, per_block)
