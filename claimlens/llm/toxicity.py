@@ -62,7 +62,7 @@ class _Memo(dict):
 
 @dataclass
 class ToxicityModel:
-    bias: float = -40.0
+    bias: float = -math.inf
     weights: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
