@@ -3,7 +3,8 @@
 A document's ids are cut into whole windows and one shorter rest. Whole windows are sequences of their own. The rests are
 dealt by a hash into blocks of about ``per_block`` documents; inside a block, differencing repeatedly merges the two
 partial partitions with the largest imbalance, pairing the fullest windows of one with the emptiest of the other. It
-starts with as many windows as the tokens need; while any window exceeds the capacity, the window count rises by one.
+starts with as many windows as the rests need at least; while any window exceeds the capacity, the window count rises by
+one.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are packed each. Extra columns are ignored. A
 null doc_id is packed and returned as null.
@@ -11,7 +12,9 @@ null doc_id is packed and returned as null.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,20 +28,21 @@ from pyspark.sql import functions as F
 from .common import blocks_for, body
 
 PACK_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Share of the windows that is expected to stay empty.
-START_ROOM = 0.02
 #: Words that a worker remembers with their ids.
 CACHE_WORDS = 1_300_000
 
 
-def difference(weights: list[int], m: int) -> list[list[int]]:
-    """The indices of ``weights`` in ``m`` parts of nearly equal sums, by multiway largest differencing.
+def difference(weights: list[int], m: int, capacity: float = math.inf) -> list[list[int]] | None:
+    """The indices of ``weights`` in ``m`` parts of nearly equal sums, by multiway largest differencing; None as soon as a
+    part exceeds ``capacity``, as sums only grow.
 
-    A partial partition lists only its windows that hold something, fullest first, as (sum, node); a node is an item or a
-    pair of nodes. So the many early merges cost what they hold and not m.
+    A partial partition lists only its windows that hold something, fullest first, as sum << shift | node; a node is an
+    item or a pair of nodes. So the many early merges cost what they hold and not m.
     """
     n, pairs = len(weights), []
-    heap = [(-w if m > 1 else 0, i, [(w, i)]) for i, w in enumerate(weights)]
+    shift = (2 * n).bit_length()  # fewer than 2n nodes
+    low = (1 << shift) - 1
+    heap = [(-w if m > 1 else 0, i, [w << shift | i]) for i, w in enumerate(weights)]
     heapq.heapify(heap)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
@@ -48,15 +52,19 @@ def difference(weights: list[int], m: int) -> list[list[int]]:
             merged = a + b
         else:  # the fullest windows of one meet the emptiest of the other
             merged = a[: m - q] + b[: m - p]
-            for (x, u), (y, v) in zip(a[m - q :], reversed(b[m - p :]), strict=True):
-                merged.append((x + y, n + len(pairs)))
+            for x, y in zip(a[m - q :], reversed(b[m - p :]), strict=True):
+                u, v = x & low, y & low
+                merged.append(x - u + y - v | n + len(pairs))
                 pairs.append((u, v))
         merged.sort(reverse=True)
-        least = merged[-1][0] if len(merged) == m else 0
-        heapq.heappush(heap, (least - merged[0][0], turn, merged))
+        most = merged[0] >> shift
+        if most > capacity:
+            return None
+        least = merged[-1] >> shift if len(merged) == m else 0
+        heapq.heappush(heap, (least - most, turn, merged))
     parts: list[list[int]] = []
-    for _, node in heap[0][2] if heap else []:
-        part, todo = [], [node]
+    for window in heap[0][2] if heap else []:
+        part, todo = [], [window & low]
         while todo:
             x = todo.pop()
             if x < n:
@@ -67,18 +75,23 @@ def difference(weights: list[int], m: int) -> list[list[int]]:
     return parts + [[] for _ in range(m - len(parts))]
 
 
+def least_count(weights: list[int], capacity: int) -> int:
+    """A number of parts that no packing can do without: the sum's, and that of the items over each k-th of the capacity,
+    of which fewer than k fit together."""
+    ordered = sorted(weights, reverse=True)
+    m = max(1, -(-sum(ordered) // capacity))
+    for k in range(2, 17):
+        over = bisect.bisect_left(ordered, -capacity, key=lambda w: -k * w)
+        m = max(m, -(-over // (k - 1)))
+    return m
+
+
 def fill(weights: list[int], capacity: int) -> list[list[int]]:
-    """Parts of at most ``capacity``: the count starts where they are full but for ``START_ROOM`` and rises while a part
-    exceeds the capacity, by as many as the imbalance just seen needs, at least one."""
-    total = sum(weights)
-    m = max(1, -(-total // capacity), round(total * (1 + START_ROOM) / capacity))
-    while True:
-        parts = difference(weights, m)
-        most = max((sum(weights[i] for i in p) for p in parts), default=0)
-        if most <= capacity:
-            return [p for p in parts if p]
-        room = max(1.0, capacity - (most - total / m))
-        m = max(m + 1, min(2 * m, int(total / room)))
+    """Parts of at most ``capacity``: the count starts at ``least_count`` and rises by one while a part exceeds it."""
+    m = least_count(weights, capacity)
+    while (parts := difference(weights, m, capacity)) is None:
+        m += 1
+    return [p for p in parts if p]
 
 
 #: Characters of words that are split here: printable Latin-1 but the apostrophe (contractions) and "<" (special strings).

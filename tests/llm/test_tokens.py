@@ -73,6 +73,19 @@ def test_differencing():
     assert packing.fill([], 10) == [] and sorted(packing.fill([10, 10], 10)) == [[0], [1]]
 
 
+def test_a_third_of_equal_long_rests():
+    rng = random.Random(2)
+    weights = [3000] * 333 + [rng.randint(50, 750) for _ in range(667)]
+    filled = packing.fill(weights, 4096)
+    assert sorted(i for p in filled for i in p) == list(range(1000)) and max(sum(weights[i] for i in p) for p in filled) <= 4096
+    assert len(filled) == packing.least_count(weights, 4096) == 333
+    assert len(packing.fill([1366] * 1000, 4096)) == 500
+    # the least count that fits: one less does not
+    weights = [min(4095, int(rng.lognormvariate(6, 1)) + 1) for _ in range(300)]
+    m = len(packing.fill(weights, 4096))
+    assert m == packing.least_count(weights, 4096) or packing.difference(weights, m - 1, 4096) is None
+
+
 def check_pack(rows, texts, capacity):
     lib = Tokenizer.from_file(WORDS)
     ids = {k: np.asarray(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for k, t in texts.items()}
