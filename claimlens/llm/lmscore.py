@@ -5,8 +5,8 @@
 2. Shares meet in shards keyed by word: this gives each word's corpus count, and each block gets back the counts of just
    its own words. No vocabulary is broadcast or collected, whatever its size.
 3. The recurrent model's symbols are the most frequent words (a fixed number, of at least 1 / 200,000 of the tokens). It is started on the driver on a bounded
-   number of windows, then trained by every task on windows of all training documents of its share of the input; the
-   parameters are averaged, weighted by windows, in shards. So training grows with the input.
+   number of windows, then trained by every task on all words and ends of the training documents of its share of the
+   input; the parameters are averaged, weighted by windows, in shards. So training grows with the input.
 4. Each block's texts are scored whole. A rare word costs the probability of RARE times its share of the rare words' mass
    under the base, so the model is a distribution over the same words as the base.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from .gru import END, N_SYMBOLS, RARE, Gru
 BLOCK_BYTES = 12_000_000
 #: The end token, as a word that no text can hold.
 END_WORD = b" "
-#: Windows of the start on the driver, and the length and spacing of all windows.
-START_WINDOWS, START_EPOCHS, LENGTH, STRIDE = 6_000, 4, 32, 256
+#: Windows of the start on the driver, and the length of all windows.
+START_WINDOWS, START_EPOCHS, LENGTH = 6_000, 4, 32
 SHARD = 4096  # parameters averaged together
 #: Least share of the training tokens of a word that is a symbol.
 LEAST = 1 / 200_000
@@ -96,14 +97,15 @@ def _symbols(top: list[bytes]) -> dict[bytes, int]:
 
 
 def _train_windows(batches: Iterator[pa.RecordBatch], symbols: dict[bytes, int]) -> list[np.ndarray]:
-    """Windows of LENGTH symbols at every STRIDE words of each text, each after the symbol before it."""
+    """Each whole text, its end included, in windows of at most LENGTH symbols, each after the symbol before it."""
     out = []
     for batch in batches:
         for text in batch.column(0):
             words = words_of(text.as_py())
-            for k in range(0, len(words), STRIDE):
-                before = symbols.get(words[k - 1], RARE) if k else N_SYMBOLS
-                out.append(np.asarray([before, *(symbols.get(w, RARE) for w in words[k : k + LENGTH])]))
+            own = np.empty(len(words) + 1, np.int16)
+            own[0] = N_SYMBOLS
+            own[1:] = np.fromiter(map(symbols.get, words, repeat(RARE)), np.int16, len(words))
+            out += [own[k : k + LENGTH + 1] for k in range(0, len(words), LENGTH)]
     return out
 
 
@@ -116,12 +118,12 @@ def train(docs: DataFrame, learn: Column, symbols: dict[bytes, int], counts: np.
     share = spark.sparkContext.broadcast(symbols)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [w.astype(np.int16).tobytes() for w in _train_windows(batches, share.value)]
+        rows = [w.tobytes() for w in _train_windows(batches, share.value)]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["window"])
 
-    # the start sees the texts with the smallest hashes; each has at least one window
+    # the start sees windows with the smallest hashes of the texts with the smallest hashes
     first = sample_ids(docs.filter(learn), START_WINDOWS // 4)
-    start = docs.filter(learn).join(F.broadcast(first), "doc_id", "left_semi").select(body().alias("body")).mapInArrow(some, "window binary").limit(START_WINDOWS)
+    start = docs.filter(learn).join(F.broadcast(first), "doc_id", "left_semi").select(body().alias("body")).mapInArrow(some, "window binary").orderBy(F.xxhash64("window"), "window").limit(START_WINDOWS)
     windows = [np.frombuffer(r[0], np.int16).astype(np.int64) for r in sorted(start.collect())]
     if not windows:
         return model

@@ -76,6 +76,23 @@ def test_base_and_score(spark, monkeypatch, odd_texts, prose, with_null_id):
     assert rows[5]["score"] == pytest.approx(rows[6]["score"], rel=1e-5)
 
 
+def test_training_windows_hold_every_word_and_end():
+    import pyarrow as pa
+
+    texts = ["a b", "", " ".join("abcz"[k % 4] for k in range(700)), "b " * 31, "b " * 32]
+    symbols = lmscore._symbols([b"a", b"b", b"c"])
+    windows = lmscore._train_windows(iter([pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts])], names=["body"])]), symbols)
+    want = [[*(symbols.get(w.encode(), 1) for w in t.split()), 0] for t in texts]
+    assert np.concatenate([w[1:] for w in windows]).tolist() == sum(want, [])
+    assert max(map(len, windows)) == lmscore.LENGTH + 1
+    at = 0
+    for text in want:  # each window follows the symbol before it
+        for k in range(0, len(text), lmscore.LENGTH):
+            assert windows[at][0] == (text[k - 1] if k else N_SYMBOLS)
+            at += 1
+    assert at == len(windows)
+
+
 def test_no_training_text_and_empty(spark):
     docs = frame(spark, ["a b", None])
     rows = lmscore.score_texts(docs, F.lit(False)).collect()
