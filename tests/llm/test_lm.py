@@ -165,3 +165,21 @@ def test_quality(spark, odd_texts, prose, with_null_id):
     assert knlm.quality(frame(spark, ["a"]).limit(0), labels).count() == 0
     nothing = knlm.quality(frame(spark, ["a b", "%%"]), labels.limit(0)).collect()
     assert all(r["kept"] for r in nothing)
+
+
+def test_quality_rejects_repeated_words_labelled_low(spark, prose):
+    n = len(prose)
+    low = [" ".join([w] * 60) for w in ("Der", "the", "was", "which", "from", "with")]
+    labels = spark.createDataFrame([(k, int(k < n), 0) for k in range(n + len(low))], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in knlm.quality(frame(spark, prose + low), labels).collect()}
+    assert sum(rows[k]["kept"] for k in range(n)) >= 0.95 * n
+    worst = max(rows[k]["perplexity"] for k in range(n))
+    assert rows[0]["threshold"] <= 1.15 * worst and not rows[n]["kept"]
+
+
+def test_quality_level_is_chosen_from_low_rows(spark):
+    good = spark.createDataFrame([("en", float(k)) for k in range(1, 1001)], "lang string, perplexity double")
+    low = spark.createDataFrame([("en", 982.5)] * 9 + [("en", 2000.0)], "lang string, perplexity double")
+    assert knlm.choose(good, low)[:2] == (0.98, {"en": 980.0})
+    assert knlm.choose(good, low.limit(0))[0] == knlm.LEVELS[-1]
+    assert knlm.choose(good.limit(0), low)[2] == math.inf
