@@ -60,6 +60,11 @@ def body(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
+def text_key() -> Column:
+    """A 64-bit key of a row's text, never null: for decisions that follow from the text alone."""
+    return F.xxhash64("text")
+
+
 def remainder(mod: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % mod
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body
+from .common import body, text_key
 
 MATCH_SCHEMA = "doc_id long, item_id long, distance long, budget long, match_start long, match_end long"
 SLAB_CHARS = 2_000_000
@@ -156,5 +156,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, sla
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08) -> DataFrame:
     """The documents that hold no benchmark item; all columns stay."""
-    leaked = find_leaks(docs, benchmark, rate=rate).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["leaked_id"], "left_anti")
+    # a text decides for itself, whatever its doc_id: null and reused ids are told apart
+    key = text_key()
+    leaked = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark, rate=rate).select(F.col("doc_id").alias("leaked_key")).distinct()
+    return docs.join(leaked, key == leaked["leaked_key"], "left_anti")

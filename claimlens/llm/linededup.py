@@ -124,14 +124,14 @@ def dropped_hashes(occ: DataFrame, frequent: DataFrame) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_set("hash").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (kept lines joined by newline), n_lines, n_dropped: one row per input row.
 
     Lines whose key has ``min_chars`` code points and occurs in ``min_docs`` documents stay only in the largest doc_id
-    that holds them.
+    that holds them. Columns named in ``carry`` stay on their rows, the text as it was as ``before``.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *carry)
     occ = materialize(occurrences(docs, min_chars, batches), "line-occurrences", partition_by="batch")
     runs = LineRuns(spark, fanout)
     for k in range(batches):
@@ -142,5 +142,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batc
     lines = lines_of()
     keep = lambda x: ~(is_long(x, min_chars) & F.array_contains("drops", line_hash(x)))
     kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, keep))
-    out = joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-    return out.select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))
+    carried = [F.col("text").alias("before"), *carry] if carry else []
+    out = joined.select("doc_id", *carried, F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    names = ["before", *carry] if carry else []
+    return out.select("doc_id", *names, F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm import decontam, linededup, neardup, packing, toxicity
-from claimlens.llm.common import shared_dir, table
+from claimlens.llm.common import shared_dir, table, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,18 +27,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or model, learnt from the labels of these documents, calls toxic go."""
     docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    toxic = toxicity.score(docs, model).filter("score >= 0.5").select(F.col("doc_id").alias("key_id")).distinct()
-    return _with(docs, toxic, "left_anti")
+    # the score follows from the text alone, so a text decides for its own rows, whatever their doc_id
+    key = text_key()
+    toxic = toxicity.score(docs.select(key.alias("doc_id"), "text"), model).filter("score >= 0.5").select(F.col("doc_id").alias("toxic_key")).distinct()
+    return docs.join(toxic, key == toxic["toxic_key"], "left_anti")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated long lines stay in one document only; documents left without any line but blank ones go with them."""
     docs = docs.select(*COLUMNS)
-    lines = linededup.dedup_lines(docs).filter("n_dropped > 0").select(F.col("doc_id").alias("key_id"), F.col("text").alias("kept_text"), "n_dropped").dropDuplicates(["key_id"])
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = _with(docs, lines, "left").withColumn("text", text)
-    out = out.filter("n_dropped is null or length(btrim(text)) > 0")
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    lines = linededup.dedup_lines(docs, carry=("lang", "source", "n_chars"))
+    out = lines.filter("n_dropped = 0 or length(btrim(text)) > 0")
+    cut = F.col("n_dropped") > 0
+    out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars"))).withColumn("text", F.when(cut, F.col("text")).otherwise(F.col("before")))
+    return out.select(*COLUMNS)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from claimlens.llm import linededup, neardup
 
@@ -73,3 +75,21 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
     assert neardup.plan(80)[0] > neardup.plan(85)[0]
+
+
+def test_null_and_reused_ids_are_decided_row_by_row(spark, tmp_path):
+    d, texts, _ = make(spark, tmp_path)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    shared = "this very line is found in many of the documents of the corpus"
+    odd = {"toxic": texts[0], "clean": "a clean text", "line": f"kept line one\n{shared}", "other": f"kept line two\n{shared}", "leak": f"intro {item} outro"}
+    for key in (None, 900):
+        rows = spark.createDataFrame([(key, t, "en", "s", len(t)) for t in odd.values()], docs.schema)
+        more = docs.filter("doc_id is not null").unionByName(rows)
+        of = lambda x: sorted(r["text"] for r in x.filter(F.col("doc_id").eqNullSafe(F.lit(key))).collect())  # noqa: B023, E731
+        assert of(corpus_pipeline.drop_toxic(spark, more, d)) == sorted(t for n, t in odd.items() if n != "toxic")
+        assert of(corpus_pipeline.decontaminate(spark, more, d)) == sorted(t for n, t in odd.items() if n != "leak")
+        lines = of(corpus_pipeline.dedup_lines(spark, more, d))
+        assert len(lines) == 5 and len(set(lines)) == 5 and {"a clean text", odd["toxic"]} <= set(lines)
+        if key is None:
+            assert {"kept line one", "kept line two"} <= set(lines)
