@@ -96,15 +96,17 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_ids(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """At most ``n`` distinct values of ``key``: those with the smallest hashes, the same for the same rows.
+    """min(n, all) distinct values of ``key``: those with the smallest hashes, the same whatever repeats or their order.
 
-    Only keys move, and a cut of the hashes at about 1.3 n keys comes first, so what is sorted does not grow with the rows.
+    The hashes are cut at well over n distinct keys before anything is sorted or shuffled, by an estimate of their number
+    that repeated rows do not move, so what moves does not grow with the rows.
     """
     ids = rows.select(key).filter(F.col(key).isNotNull())
-    total = ids.count()
-    if total > 2 * n:
-        ids = ids.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * 1.3 * n / total))
-    return ids.distinct().orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(n)
+    total = ids.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    wanted, rank = 1.5 * n + 200, F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if total > 2 * wanted:
+        ids = ids.filter(rank < int((1 << 40) * wanted / total))
+    return ids.distinct().orderBy(rank, key).limit(n)
 
 
 def blocks_for(rows: int, per_block: int) -> int:
@@ -119,7 +121,6 @@ LOWER[65:91] += 32
 _rng = np.random.default_rng(20_240_229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -131,27 +132,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS = np.full(1 << 12, _BASE, np.uint64)
+_POWERS[0] = 1
+_POWERS = np.multiply.accumulate(_POWERS)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 200_000)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-        if n > 4 * SLICE_BYTES:  # one giant text: don't keep the table
-            return _POWERS.pop("up"), _POWERS.pop("down")
-    return _POWERS["up"], _POWERS["down"]
+def _powers(n: int) -> np.ndarray:
+    """Powers of the base for places 0..n - 1; a table for a giant word is not kept."""
+    if n <= len(_POWERS):
+        return _POWERS
+    p = np.full(n, _BASE, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the ASCII-lower-cased words of each text, in order, and each text's n + 1 word offsets.
 
     Words are maximal runs of bytes other than space and 9-13; a word never crosses two texts. A word's hash is a
-    polynomial in its bytes, read off prefix sums, so no Python code runs per word.
+    polynomial in its bytes, summed for all words at once, so no Python code runs per word.
     """
     n = len(raw)
     if not n:
@@ -163,14 +162,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     cuts = cuts[cuts < n]
     begin[cuts] = inside[cuts]
     starts = np.flatnonzero(begin)
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    before = cuts[cuts > 0] - 1
-    last[before] = inside[before]
-    ends = np.flatnonzero(last) + 1
-    up, down = _powers(n)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[LOWER[raw]] * up[:n], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * down[starts]
-    h = mix(h + (ends - starts).astype(np.uint64))
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    spans = np.diff(np.append(starts, n))
+    place = np.arange(starts[0], n) - np.repeat(starts, spans)
+    lengths = np.add.reduceat(inside, starts, dtype=np.int64)
+    place[~inside[starts[0] :]] = 0
+    terms = _BYTE[LOWER[raw[starts[0] :]]] * _powers(int(lengths.max()))[place]
+    terms[~inside[starts[0] :]] = 0
+    h = mix(np.add.reduceat(terms, starts - starts[0]) + lengths.astype(np.uint64))
     return h, np.searchsorted(starts, offsets, side="left")

@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, *, max_per_cla
     for label in (0, 1):
         chosen = sample_ids(known.filter(F.col("toxic") == label), max_per_class)
         # at most max_per_class ids are broadcast
-        found = texts.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text").collect()
+        found = texts.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").select("text").collect()
         rows += [(r[0], label) for r in found]
     return fit([r[0] for r in rows], [r[1] for r in rows])
 

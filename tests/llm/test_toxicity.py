@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens.llm import queries, toxicity
+from claimlens.llm.common import sample_ids
 
 from .conftest import WORDS, frame
 
@@ -58,6 +59,7 @@ def test_spark_and_odd_rows(spark, odd_texts, with_null_id):
     by = {r["doc_id"]: r for r in rows}
     assert by[0]["score"] == by[1]["score"] == by[2]["score"] == 0 and by[5]["score"] == by[6]["score"]
     assert all(0 <= r["score"] <= 1 for r in rows)
+    assert toxicity.train(docs.union(docs), marks.union(marks), F.lit(True)).weights == model.weights
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert toxicity.locate(frame(spark, ["x. you idiotical stupidous. y", None]), model).count() == 1
 
@@ -72,3 +74,14 @@ def test_nothing_to_learn_from(spark):
 def test_query(spark):
     out = queries.op1_toxicity(spark, "/root/testdata/sf0.001").collect()
     assert len({r["doc_id"] for r in out}) == len(out) and all(r["predicted"] == int(r["score"] >= 0.5) for r in out)
+
+
+def test_samples_do_not_depend_on_repeats(spark):
+    ids = spark.range(100).select(F.col("id").alias("doc_id"))
+    rows = ids.crossJoin(spark.range(50).select(F.lit(1).alias("x"))).unionByName(spark.createDataFrame([(None, 1)] * 300, "doc_id long, x int"))
+    for n in (1, 60, 100, 150):
+        got = {r[0] for r in sample_ids(rows, n).collect()}
+        assert len(got) == min(n, 100) and got == {r[0] for r in sample_ids(ids, n).collect()}
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"))
+    first = sorted(r[0] for r in sample_ids(many, 500).collect())
+    assert len(first) == 500 and first == sorted(r[0] for r in sample_ids(many.union(many).union(many), 500).collect())
