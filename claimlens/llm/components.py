@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating star contraction, in DataFrame operations only.
 
 Each round hangs every node below the smallest node that it knows (large star), then joins the smaller neighbours (small
-star), until nothing changes. Minima come from aggregations that combine before the shuffle, so a node with many links
+star), until all that is left are stars. Minima come from aggregations that combine before the shuffle, so a node with many links
 costs one row per task; each round is written to the shared folder, and the round before is deleted.
 """
 
@@ -26,17 +26,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a < b").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """No node is a root and hangs below one, or hangs below two."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("root"), F.lit(0).alias("leaf")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("root"), F.lit(1).alias("leaf")))
+    seen = ends.groupBy("node").agg(F.max("root").alias("root"), F.sum("leaf").alias("leaf"))
+    return seen.filter("leaf > 1 or leaf = 1 and root = 1").isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of the links (a, b); loops and repeats do no harm."""
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    edges, mark = materialize(pairs, "components"), None
-    while True:
+    edges = materialize(pairs, "components")
+    while not _all_stars(edges):
         after = materialize(_star(_star(edges, True), False), "components")
-        row = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(edges)
         edges = after
-        if tuple(row) == mark:
-            break
-        mark = tuple(row)
     roots = edges.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("component"))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)

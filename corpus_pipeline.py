@@ -18,11 +18,6 @@ from claimlens.llm.common import shared_dir, table, text_key
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _with(docs: DataFrame, decided: DataFrame, how: str = "inner") -> DataFrame:
-    """``docs`` joined with one row for each doc_id of ``decided``."""
-    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["key_id"]), how)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or model, learnt from the labels of these documents, calls toxic go."""
     docs = docs.select(*COLUMNS)
@@ -44,10 +39,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near duplicates (five words, similarity 0.8) the rows of the smallest doc_id stay.
+
+    A row is known by its doc_id and its text, so the rows of a repeated id are decided one by one.
+    """
     docs = docs.select(*COLUMNS)
-    gone = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("key_id")).distinct()
-    return _with(docs, gone, "left_anti")
+    gone = neardup.near_duplicates(docs, keyed=True).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(gone, [docs["doc_id"] == gone["gone_id"], text_key() == gone["gone_key"]], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,14 +82,19 @@ def test_null_and_reused_ids_are_decided_row_by_row(spark, tmp_path):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     item = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
     shared = "this very line is found in many of the documents of the corpus"
-    odd = {"toxic": texts[0], "clean": "a clean text", "line": f"kept line one\n{shared}", "other": f"kept line two\n{shared}", "leak": f"intro {item} outro"}
+    copy = " ".join(f"word{k}" for k in range(80))
+    odd = {"toxic": texts[0], "clean": "a clean text", "line": f"kept line one\n{shared}", "other": f"kept line two\n{shared}", "leak": f"intro {item} outro", "copy": copy + " end"}
     for key in (None, 900):
         rows = spark.createDataFrame([(key, t, "en", "s", len(t)) for t in odd.values()], docs.schema)
-        more = docs.filter("doc_id is not null").unionByName(rows)
+        more = docs.filter("doc_id is not null").unionByName(rows).unionByName(spark.createDataFrame([(700, copy, "en", "s", 1)], docs.schema)).withColumn("text_key", F.lit("x")).withColumn("gone_id", F.lit(1))
         of = lambda x: sorted(r["text"] for r in x.filter(F.col("doc_id").eqNullSafe(F.lit(key))).collect())  # noqa: B023, E731
         assert of(corpus_pipeline.drop_toxic(spark, more, d)) == sorted(t for n, t in odd.items() if n != "toxic")
         assert of(corpus_pipeline.decontaminate(spark, more, d)) == sorted(t for n, t in odd.items() if n != "leak")
+        near = corpus_pipeline.dedup_near(spark, more, d)
+        assert near.columns == list(corpus_pipeline.COLUMNS)
+        # the copy's smallest doc_id is 700; the toxic text is that of document 0; a null id has no links
+        assert of(near) == sorted(t for n, t in odd.items() if key is None or n not in ("copy", "toxic"))
         lines = of(corpus_pipeline.dedup_lines(spark, more, d))
-        assert len(lines) == 5 and len(set(lines)) == 5 and {"a clean text", odd["toxic"]} <= set(lines)
+        assert len(lines) == 6 and len(set(lines)) == 6 and {"a clean text", odd["toxic"]} <= set(lines)
         if key is None:
             assert {"kept line one", "kept line two"} <= set(lines)
