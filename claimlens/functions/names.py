@@ -6,20 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import ALIASES, LOWER_IS_BETTER, RATIO_METRICS, SPLITS, qualifiers, quote
-from .text import strip
+from .text import let, strip
 
 
 def normalize_metric(name: Column) -> Column:
     """Lower case, underscores, aliases folded part by part, a trailing split moved to the front."""
     n = F.regexp_replace(F.lower(strip(name)), r"[.:]+$", "")
     n = F.regexp_replace(n, r"(?U)[\s\-]+", "_")
-    parts = F.filter(F.split(n, "_", -1), lambda p: p != "")
     aliases = F.create_map(*[F.lit(x) for pair in ALIASES.items() if "_" not in pair[0] for x in pair])
-    parts = F.transform(parts, lambda p: F.coalesce(F.try_element_at(aliases, p), p))
-    last = F.try_element_at(parts, F.lit(-1))
-    moved = F.concat(F.array(last), F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))
-    parts = F.when((F.size(parts) > 1) & last.isin(SPLITS), moved).otherwise(parts)
-    return F.regexp_replace(F.array_join(parts, "_"), r"^top_?([15])(?:_accuracy)?$", "top$1_accuracy")
+    parts = F.transform(F.filter(F.split(n, "_", -1), lambda p: p != ""), lambda p: F.coalesce(F.try_element_at(aliases, p), p))
+
+    def ordered(p: Column) -> Column:
+        last = F.try_element_at(p, F.lit(-1))
+        moved = F.concat(F.array(last), F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))))
+        return F.array_join(F.when((F.size(p) > 1) & last.isin(SPLITS), moved).otherwise(p), "_")
+
+    return F.regexp_replace(let(parts, ordered), r"^top_?([15])(?:_accuracy)?$", "top$1_accuracy")
 
 
 def metric_base(normal: Column) -> Column:

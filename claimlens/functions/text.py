@@ -41,20 +41,20 @@ def matches(c: Column, pattern: str, groups: list[str]) -> Column:
     """
     template = "\x01$0" + "".join(f"\x02${k + 1}" for k in range(len(groups))) + "\x01"
     marked = F.regexp_replace(F.translate(c, "\x01\x02", "\x03\x03"), pattern, template)
-    total = lambda xs, part: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(part(x)))
 
     def build(parts: Column) -> Column:
-        between = F.filter(parts, lambda x, i: i % 2 == 0)
-        hits = F.transform(F.filter(parts, lambda x, i: i % 2 == 1), lambda x: F.split(x, "\x02", -1))
-        return let(F.struct(between.alias("between"), hits.alias("hits")), place)
-
-    def place(b: Column) -> Column:
-        def one(h: Column, i: Column) -> Column:
-            start = total(F.slice(b["between"], F.lit(1), i + 1), lambda x: x) + total(F.slice(b["hits"], F.lit(1), i), lambda x: x[0])
-            fields = [h[k + 1].alias(name) for k, name in enumerate(groups)]
-            return F.struct(start.alias("start"), (start + F.length(h[0])).alias("end"), h[0].alias("raw"), *fields)
-
-        return F.transform(b["hits"], one)
+        # every second part is a match, up to its first control character; one fold gives all starts
+        def step(s: Column, x: Column) -> Column:
+            width = F.when(s["hit"], F.instr(x, "\x02") - 1).otherwise(F.length(x))
+            return F.struct((s["at"] + width).alias("at"), (~s["hit"]).alias("hit"), F.when(s["hit"], F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(parts, begin, step, lambda s: s["starts"])
+        return F.zip_with(F.filter(parts, lambda x, i: i % 2 == 1), starts, lambda x, at: let(F.split(x, "\x02", -1), lambda h: one(h, at)))
+
+    def one(h: Column, at: Column) -> Column:
+        fields = [h[k + 1].alias(name) for k, name in enumerate(groups)]
+        return F.struct(at.alias("start"), (at + F.length(h[0])).alias("end"), h[0].alias("raw"), *fields)
 
     return let(F.split(marked, "\x01", -1), build)
 

@@ -1,11 +1,21 @@
 """Metric values from text lines, JSON, JSON lines and delimited tables.
 
-All plans are projections and generators over built-in functions: no shuffle, no Python. Rows carry ``ord``, the order in
+Text lines and JSON are projections and generators over built-in functions, without a shuffle; Python reads only delimited
+tables and deeply nested JSON. Rows carry ``ord``, the order in
 which a reader of the source meets them (line, pass, place), since first and last depend on it.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+import json
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,30 +61,29 @@ def text_values(rows: DataFrame, body: str = "body", keep: list[str] | None = No
     rows = rows.filter(F.col(body).rlike("[0-9]")).withColumn("_l", F.substring(F.col(body), 1, MAX_LINE)).filter(~is_exception(F.col("_l")))
     line = F.col("_l")
     nothing = F.lit("")
+    none = lambda names: F.array().cast("array<struct<start:int,end:int,raw:string," + ",".join(f"{n}:string" for n in names) + ">>")
     vocabulary = F.filter(vocabulary_matches(line), lambda x: (x["den"] == "") | ~x["den"].rlike("^0+$"))
-    as_hit = lambda x, rank, den, pct: F.struct(F.lit(rank).alias("rank"), x["start"].alias("start"), x["raw"].alias("raw"), x["name"].alias("name"), x["value"].alias("value"), den.alias("den"), pct.alias("pct"))
+
+    def as_hit(x: Column, rank: int, den: Column, pct: Column) -> Column:
+        """A match as a value: all that is read from its texts is worked out here, once, so that later filters are cheap."""
+        fraction, value = den != "", number(x["value"])
+        written = F.when(fraction, F.concat_ws("/", x["value"], F.regexp_replace(den, "^0+(?=.)", "")))
+        fields = {
+            "rank": F.lit(rank), "start": x["start"], "name": normalize_metric(x["name"]), "raw_name": x["name"], "value": F.when(fraction, value / number(den)).otherwise(value),
+            "raw": strip(x["raw"]), "percent": ~fraction & (pct != ""), "fraction": written,
+        }
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
     # a line without the pattern's own sign need not be searched
-    free = lambda pattern, sign: F.filter(matches(F.when(F.contains(line, F.lit(sign)), line).otherwise(nothing), pattern, ["name", "value"]), lambda x: ~overlaps(x, F.col("_m")))
+    free = lambda pattern, sign: F.when(F.contains(line, F.lit(sign)), F.filter(matches(line, pattern, ["name", "value"]), lambda x: ~overlaps(x, F.col("_m")))).otherwise(none(["name", "value"]))
     hits = F.concat(
         F.transform("_m", lambda x: as_hit(x, 0, x["den"], x["pct"])),
         F.transform(free(KEY_VALUE, "="), lambda x: as_hit(x, 1, nothing, nothing)),
         F.transform(free(KEY_TAB, "\t"), lambda x: as_hit(x, 2, nothing, nothing)),
     )
     out = rows.withColumn("_m", vocabulary).select(*keep, "line", F.substring(strip(F.col(body)), 1, MAX_TEXT).alias("text"), F.explode(hits).alias("h"))
-    value, den = number(F.col("h.value")), number(F.col("h.den"))
-    fraction = F.col("h.den") != ""
-    return out.select(
-        *keep,
-        normalize_metric(F.col("h.name")).alias("name"),
-        F.col("h.name").alias("raw_name"),
-        F.when(fraction, value / den).otherwise(value).alias("value"),
-        strip(F.col("h.raw")).alias("raw"),
-        (~fraction & (F.col("h.pct") != "")).alias("percent"),
-        "line",
-        "text",
-        F.when(fraction, F.concat_ws("/", "h.value", F.regexp_replace(F.col("h.den"), "^0+(?=.)", ""))).alias("fraction"),
-        F.struct("line", F.col("h.rank").alias("rank"), F.col("h.start").alias("start")).alias("ord"),
-    ).filter(F.col("value").isNotNull())
+    fields = ["h.name", "h.raw_name", "h.value", "h.raw", "h.percent", "line", "text", "h.fraction"]
+    return out.select(*keep, *fields, F.struct("line", "h.rank", "h.start").alias("ord")).filter(F.col("value").isNotNull())
 
 
 def _structured(key: Column, value: Column) -> list[Column]:
@@ -87,18 +96,53 @@ def _one_json(text: Column) -> Column:
     return F.when(F.try_variant_get(boxed, "$[1]", "variant").isNull(), F.try_variant_get(boxed, "$[0]", "variant"))
 
 
+def _leaves(value, path: str = "", pos: tuple[int, ...] = ()) -> Iterator[tuple[str, float, list[int]]]:
+    """(path, number, place) of every number below a value, to any depth: a stack, as nesting may exceed Python's own."""
+    stack = [(value, path, pos)]
+    while stack:
+        value, path, pos = stack.pop()
+        if isinstance(value, dict):
+            items = [(f"{path}.{k}" if path else k, value[k]) for k in sorted(value)]
+        elif isinstance(value, list):
+            items = [(f"{path}[{i}]", v) for i, v in enumerate(value[:MAX_ITEMS])]
+        else:
+            if isinstance(value, int | float) and not isinstance(value, bool):
+                yield path, float(value), list(pos)
+            continue
+        stack += [(v, p, (*pos, i)) for i, (p, v) in reversed(list(enumerate(items)))]
+
+
+@F.udtf(returnType="path string, value double, pos array<int>")
+class _DeepLeaves:
+    """The numbers of one JSON text of any nesting."""
+
+    def eval(self, text: str):
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, 2 * len(text) + 1000 if len(text) < 50_000 else 100_000))
+        try:
+            yield from _leaves(json.loads(text))
+        except (ValueError, RecursionError):
+            return
+        finally:
+            sys.setrecursionlimit(before)
+
+
 def json_values(docs: DataFrame, text: str = "text", depth: int = 12, keep: list[str] | None = None) -> DataFrame:
     """Numbers of JSON documents by path (a.b[0].c), booleans and strings left out, lists cut at 1000 items.
 
     A text that is no JSON document is read as JSON lines: bad lines are skipped and the line is the physical one; in a
-    document it is the first line that holds the leaf's quoted key. ``depth`` bounds the nesting, level by level.
+    document it is the first line that holds the leaf's quoted key. Values with at most ``depth`` opening brackets, which
+    cannot be nested deeper, are flattened level by level by built-in generators; all others by a stack in Python, so no
+    nesting loses numbers.
     """
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
     whole = docs.withColumn("_v", _one_json(F.col(text)))
-    one = whole.filter(F.col("_v").isNotNull()).select(*keep, "_v", split_lines(F.col(text)).alias("_lines"), F.lit(None).cast("int").alias("_line"))
+    one = whole.filter(F.col("_v").isNotNull()).select(*keep, "_v", F.col(text).alias("_raw"), split_lines(F.col(text)).alias("_lines"), F.lit(None).cast("int").alias("_line"))
     many = whole.filter(F.col("_v").isNull() & F.col(text).isNotNull()).select(*keep, F.posexplode(split_lines(F.col(text))).alias("_at", "_body"))
-    many = many.select(*keep, _one_json(F.col("_body")).alias("_v"), F.array("_body").alias("_lines"), (F.col("_at") + 1).alias("_line")).filter("_v is not null")
-    level = one.unionByName(many).select(*keep, "_lines", "_line", F.lit("").alias("_path"), "_v", F.array().cast("array<int>").alias("_pos"))
+    many = many.select(*keep, _one_json(F.col("_body")).alias("_v"), F.col("_body").alias("_raw"), F.array("_body").alias("_lines"), (F.col("_at") + 1).alias("_line")).filter("_v is not null")
+    values = one.unionByName(many)
+    shallow = F.length("_raw") - F.length(F.translate("_raw", "[{", "")) <= depth
+    level = values.filter(shallow).select(*keep, "_lines", "_line", F.lit("").alias("_path"), "_v", F.array().cast("array<int>").alias("_pos"))
     children = docs.sparkSession.tvf.variant_explode_outer(F.col("_v").outer())
     for _ in range(depth):
         # a container becomes its children, anything else stays: one generator a level, and one scan in all
@@ -110,7 +154,9 @@ def json_values(docs: DataFrame, text: str = "text", depth: int = 12, keep: list
         path, v = F.when(done, F.col("_path")).otherwise(F.concat("_path", step)), F.when(done, F.col("_v")).otherwise(F.col("_child"))
         level = open_.select(*keep, "_lines", "_line", path.alias("_path"), v.alias("_v"), F.when(done, F.col("_pos")).otherwise(F.concat("_pos", F.array("_at"))).alias("_pos"))
     numeric = F.schema_of_variant("_v").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    leaves = level.filter(numeric).withColumn("value", F.try_variant_get("_v", "$", "double"))
+    leaves = level.filter(numeric).withColumn("value", F.try_variant_get("_v", "$", "double")).drop("_v")
+    deep = values.filter(~shallow).select(*keep, "_lines", "_line", "_raw").lateralJoin(_DeepLeaves(F.col("_raw").outer()).toDF("_path", "value", "_pos")).drop("_raw")
+    leaves = leaves.unionByName(deep)
     leaf_key = F.element_at(F.split(F.regexp_replace("_path", r"\[\d+\]$", ""), r"\."), -1)
     quoted = F.concat(F.lit('"'), leaf_key, F.lit('"'))
     first = F.array_position(F.transform("_lines", lambda x: F.contains(x, quoted)), F.lit(True))
@@ -121,18 +167,42 @@ def json_values(docs: DataFrame, text: str = "text", depth: int = 12, keep: list
 
 
 def csv_values(docs: DataFrame, text: str = "text", separator: str = ",", keep: list[str] | None = None) -> DataFrame:
-    """Every numeric cell of the first 1000 rows below a header, as (column, value); the row's first cell is its label."""
+    """Every numeric cell of the first 1000 records below a header, as (column, value); the record's first cell is its label.
+
+    Records are read by a CSV reader in Arrow batches, as quoted cells may hold separators and line ends, and a row may
+    have any number of cells. ``line`` counts records; ``text`` is the physical line of that number.
+    """
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
-    width = 4096  # columns; a row's cells come as a map from their position
-    cells = lambda c: F.transform(F.split(c, rf"{separator}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", width), lambda x: F.replace(F.regexp_replace(x, r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
-    rows = docs.select(*keep, split_lines(F.col(text)).alias("_ls")).filter(F.size("_ls") > 1)
-    rows = rows.select(*keep, cells(F.element_at("_ls", 1)).alias("_head"), F.posexplode(F.slice("_ls", 2, MAX_ITEMS)).alias("_at", "_body"))
-    rows = rows.select(*keep, "_head", "_at", "_body", cells(F.col("_body")).alias("_cells"))
-    melted = rows.select(*keep, "_at", "_body", F.coalesce(F.try_element_at("_cells", F.lit(1)), F.lit("")).alias("row"), F.posexplode(F.slice(F.arrays_zip(F.col("_head").alias("h"), F.col("_cells").alias("c")), F.lit(1), F.least(F.size("_head"), F.size("_cells")))).alias("_col", "_z"))
-    cell = strip(F.col("_z.c"))
-    bare = F.regexp_replace(cell, "%+$", "")
-    out = melted.filter(bare.rlike(f"^(?:{NUMBER})$"))
-    return out.select(*keep, *_structured(F.col("_z.h"), number(bare)), cell.endswith("%").alias("percent"), (F.col("_at") + 2).alias("line"), F.substring(strip(F.col("_body")), 1, MAX_TEXT).alias("text"), "row", F.struct((F.col("_at") + 2).alias("line"), F.col("_col").alias("pos")).alias("ord"))
+    lone = re.compile(f"(?:{NUMBER})")
+    field = ["col string", "cell string", "line int", "body string", "row string", "pos int"]
+    kept = docs.select(*keep).schema.fields
+    names = [f.name for f in kept] + [f"_{x.split()[0]}" for x in field]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"_{x}" for x in field])
+
+    def cells(body: str) -> Iterator[tuple]:
+        reader = csv.reader(io.StringIO(body, newline=""), delimiter=separator)
+        head = next(reader, None)
+        ls = body.splitlines()
+        for at, row in enumerate(itertools.islice(reader, MAX_ITEMS), start=2):
+            for k, (name, cell) in enumerate(zip(head, row, strict=False)):
+                if lone.fullmatch(cell.strip().rstrip("%")):
+                    yield name, cell.strip(), at, ls[at - 1] if at <= len(ls) else "", row[0], k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(2**31 - 1)
+        for batch in batches:
+            owner, found = [], []
+            for k, body in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for row in cells(body or ""):
+                    owner.append(k)
+                    found.append(row)
+            own = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(batch.num_columns - 1)]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds))], names=names)
+
+    out = docs.filter(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    value = number(F.regexp_replace("_cell", "%+$", ""))
+    return out.select(*keep, *_structured(F.col("_col"), value), F.col("_cell").endswith("%").alias("percent"), F.col("_line").alias("line"), F.substring(strip(F.col("_body")), 1, MAX_TEXT).alias("text"), F.col("_row").alias("row"), F.struct(F.col("_line").alias("line"), F.col("_pos").alias("pos")).alias("ord"))
 
 
 def wanted(values: DataFrame, names: list[str], group: list[str] | None = None, limit: int = MAX_VALUES) -> DataFrame:
@@ -151,8 +221,6 @@ def wanted(values: DataFrame, names: list[str], group: list[str] | None = None,
 
 def _plain_name(name: str) -> str:
     """The driver-side counterpart of normalize_metric, for literal names."""
-    import re
-
     parts = [p for p in re.sub(r"[\s\-]+", "_", name.strip().lower().rstrip(".:")).split("_") if p]
     from ..functions.patterns import ALIASES, SPLITS
 

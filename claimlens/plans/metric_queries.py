@@ -103,6 +103,42 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(extract.json_values(e.select("event_id", text.alias("text")), depth=2).select("event_id", "name", "value", "line"), "line")
 
 
+@query("""
+SELECT event_id, x.name, x.value, x.line, x.text FROM events, LATERAL (SELECT unnest(['loss', 'accuracy']) AS name,
+  unnest([CAST(user_id AS DOUBLE), 0.5::DOUBLE]) AS value, unnest([1, 2])::BIGINT AS line,
+  unnest([concat('caf', chr(65533), ' loss ', user_id), concat('acc 0.5 ', chr(65533), 'x', chr(65533))]) AS text) x
+""")
+def log_bad_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    raw = lambda x: F.lit(x).cast("binary")
+    content = F.concat(raw("caf"), F.unhex(F.lit("E9")), raw(" loss "), F.col("user_id").cast("string").cast("binary"), raw("\nacc 0.5 "), F.unhex(F.lit("FF")), raw("x"), F.unhex(F.lit("80")))
+    rows = e.select(F.col("event_id"), files.decoded(content).alias("text"))
+    return _long(extract.text_values(extract.lines(rows)).select("event_id", "name", "value", "line", "text"), "line")
+
+
+@query("""
+SELECT event_id, x.raw_name, x.value FROM events, LATERAL (SELECT
+  unnest([concat('a', repeat('.a', 39), '[1].b'), 'last']) AS raw_name, unnest([CAST(user_id AS DOUBLE), CAST(event_id AS DOUBLE)]) AS value) x
+""")
+def json_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    text = F.concat(F.lit('{"a": ' * 40 + '[true, {"b": '), "user_id", F.lit("}]" + "}" * 39 + ', "last": '), "event_id", F.lit("}"))
+    return extract.json_values(e.select("event_id", text.alias("text"))).select("event_id", "raw_name", "value")
+
+
+@query("""
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, concat('c', i) AS name, CAST(n_nationkey * 5000 + i AS DOUBLE) AS value,
+  concat(n_name, ', a "', chr(10), '" b') AS row, CAST(2 AS BIGINT) AS line FROM nation, range(1, 5001) t(i)
+""")
+def csv_quoted_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    at = F.sequence(F.lit(1), F.lit(5000))
+    head = F.array_join(F.transform(at, lambda i: F.concat(F.lit("c"), i)), ",")
+    row = F.array_join(F.transform(at, lambda i: (F.col("n_nationkey") * 5000 + i).cast("string")), ",")
+    text = F.concat(F.lit("name,"), head, F.lit('\n"'), "n_name", F.lit(', a ""\n"" b",'), row)
+    return _long(extract.csv_values(n.select("n_nationkey", text.alias("text"))).select("n_nationkey", "name", "value", "row", "line"), "n_nationkey", "line")
+
+
 @query("""
 SELECT c_custkey, name, value, percent, row, CAST(2 AS BIGINT) AS line FROM (
   SELECT c_custkey, 'nation' AS name, CAST(c_nationkey AS DOUBLE) AS value, false AS percent, c_name AS row FROM customer

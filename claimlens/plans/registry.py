@@ -25,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables under this many bytes, as the planner estimates them, are dealt to all cores ahead of heavy work on each row.
+SMALL_BYTES = 256 * 2**20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer splits than cores, dealt to all of them ahead of heavy work on each row.
+    """Rows of a small table dealt to all cores.
 
-    A table of many splits is left as it is, so nothing is shuffled where it would cost anything.
+    A small file is one row group, so one task reads it however it is split; dealing its rows costs next to nothing. A
+    large table has row groups for all cores and is left as it is, so nothing is shuffled where it would cost anything.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()  # noqa: SLF001
-    return df.repartition(cores) if splits < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df

@@ -6,7 +6,7 @@ import json
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.extract import csv_values, json_values, lines, text_values
@@ -29,16 +29,23 @@ WORD_BOX = (
 )
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text; those that are no UTF-8 become replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_files(spark: SparkSession, path: str, *, recursive: bool = True) -> DataFrame:
     """path, size, text of all files below a folder that are not in a skipped one; large files have no text.
 
-    The size test sits before the decoding; content of files over the limit is dropped in the scan's projection.
+    The size test is pushed down to the source, so the content of files over the limit is never read. Bytes that are no
+    UTF-8 become replacement characters.
     """
     skipped = "|".join(x.replace(".", r"\.") for x in SKIP_FOLDERS)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     raw = raw.filter(~F.col("path").rlike(rf"/(?:{skipped})/"))
-    text = F.when(F.col("length") <= MAX_FILE, F.try_validate_utf8(F.col("content").cast("string")))
-    return raw.select("path", F.col("length").alias("size"), text.alias("text"))
+    size = F.col("length").alias("size")
+    small = raw.filter(F.col("length") <= MAX_FILE).select("path", size, decoded(F.col("content")).alias("text"))
+    return small.unionByName(raw.filter(F.col("length") > MAX_FILE).select("path", size, F.lit(None).cast("string").alias("text")))
 
 
 def metric_values(files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimlens.functions import names, patterns
 from claimlens.functions.text import compact_number, duration, split_lines, tail
 from claimlens.operators import extract
+from claimlens.sources import files
 
 
 def values(spark, *lines):
@@ -125,3 +126,33 @@ def test_wanted_caps_and_says_so(spark):
     df = spark.createDataFrame([("e", "loss", i) for i in range(5)] + [("e", "lr", 9)], "x string, name string, ord int")
     rows = extract.wanted(df, ["Loss"], ["x"], 3).orderBy("ord").collect()
     assert [(r["ord"], r["truncated"]) for r in rows] == [(0, True), (1, True), (2, True)]
+
+
+def test_deep_json_and_wide_lists(spark):
+    deep = "[" * 900 + '{"x": 7}' + "]" * 900
+    wide = '{"loss": [' + ", ".join(str(k) for k in range(1200)) + '], "b": {"z": 1, "a": true}}'
+    df = spark.createDataFrame([("deep", deep), ("wide", wide), ("lines", wide + "\nno json\n" + '{"acc": 3}'), ("none", None), ("empty", "")], "source string, text string")
+    rows = {}
+    for r in extract.json_values(df).orderBy("source", "ord").collect():
+        rows.setdefault(r["source"], []).append((r["raw_name"], r["value"], r["line"]))
+    assert rows["deep"] == [("[0]" * 900 + ".x", 7.0, 1)]
+    assert rows["wide"] == [("b.z", 1.0, 1)] + [(f"loss[{k}]", float(k), 1) for k in range(1000)]
+    assert rows["lines"] == rows["wide"] + [("acc", 3.0, 3)] and set(rows) == {"deep", "wide", "lines"}
+
+
+def test_odd_tables(spark):
+    df = spark.createDataFrame([("a", "h,x\n\n1,2,3\n\"q\n,r\",4.5%\n"), ("b", None), ("c", ""), ("d", "only,head")], "source string, text string")
+    rows = [(r["source"], r["name"], r["row"], r["value"], r["percent"], r["line"]) for r in extract.csv_values(df).orderBy("source", "ord").collect()]
+    assert rows == [("a", "h", "1", 1.0, False, 3), ("a", "x", "1", 2.0, False, 3), ("a", "x", "q\n,r", 4.5, True, 4)]
+
+
+def test_files_with_bad_bytes_and_large_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MAX_FILE", 1000)
+    (tmp_path / "a.log").write_bytes(b"caf\xe9\nloss 0.5 \xff")
+    (tmp_path / "big.log").write_bytes(b"loss 0.25\n" * 200)
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "c.log").write_bytes(b"loss 3")
+    read = files.read_files(spark, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[1]: (r["size"], r["text"]) for r in read.collect()}
+    assert got == {"a.log": (15, "caf\ufffd\nloss 0.5 \ufffd"), "big.log": (2000, None)}
+    assert [(r["name"], r["value"], r["line"]) for r in files.metric_values(read).collect()] == [("loss", 0.5, 2)]
