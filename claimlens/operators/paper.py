@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import normalize_metric, number
 from ..functions.patterns import METRIC_WORD
-from .layout import NUMERIC, table_cells, table_claims
+from .layout import NUMERIC, read_tables, table_claims
 
 # Patterns, and how far below its caption a table may reach. ------------------------------------------
 CAPTION = re.compile(r"^\s*Table\s+([0-9IVX]+)\s*[:.]\s*(.*)$", re.IGNORECASE)
@@ -93,7 +93,14 @@ def text_table_claims(pages: DataFrame) -> DataFrame:
 
 
 def paper_tables(word_pages: DataFrame, text_pages: DataFrame) -> DataFrame:
-    """Claims by layout for documents with word boxes, by text for all others; ``reader`` says which."""
-    laid_out = table_claims(table_cells(word_pages)).drop("row_group", "neighborhood", "ord").withColumn("reader", F.lit("layout"))
-    rest = text_pages.join(word_pages.select("doc").distinct(), "doc", "left_anti")
-    return laid_out.unionByName(text_table_claims(rest))
+    """Claims by layout for documents with word boxes, by text for all others and for those whose layout fails.
+
+    ``reader`` says which; the reason of a failure is among the notes.
+    """
+    read = read_tables(word_pages)
+    laid_out = table_claims(read.filter("problem is null").drop("problem")).drop("row_group", "neighborhood", "ord").withColumn("reader", F.lit("layout"))
+    failed = read.filter("problem is not null").select("doc", F.concat(F.lit("layout failed: "), "problem").alias("reason"))
+    boxes = word_pages.select("doc").distinct().join(failed, "doc", "left_anti")
+    by_text = text_table_claims(text_pages.join(boxes, "doc", "left_anti")).join(failed, "doc", "left")
+    notes = F.when(F.col("reason").isNull(), F.col("confidence_notes")).otherwise(F.array_append("confidence_notes", F.col("reason")))
+    return laid_out.unionByName(by_text.withColumn("confidence_notes", notes).drop("reason"))

@@ -139,6 +139,22 @@ def text_table_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paper.text_table_claims(pages).select(F.col("doc").cast("long").alias("s_suppkey"), "row", "column", "value", "plus_minus", "metric", "confidence_score")
 
 
+@query("""
+SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN 'text' ELSE 'layout' END AS reader, CASE WHEN s_nationkey % 3 = 0 THEN 1 ELSE 4 END AS n, s_nationkey % 3 = 0 AS failed FROM supplier
+""")
+def table_layout_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a rule that has no place fail to lay out; their documents are read as text, the reason noted."""
+    s = table(spark, sf_dir, "supplier")
+    bad = s.filter("s_nationkey % 3 = 0").select(F.col("s_suppkey").cast("string").alias("doc"))
+    pages = _grid_pages(s)
+    lost = F.array(F.lit(None).cast("struct<y:double,x0:double,x1:double>"))
+    words = pages.join(bad.withColumn("bad", F.lit(True)), "doc", "left").withColumn("hrules", F.when(F.col("bad"), lost).otherwise(F.col("hrules"))).drop("bad")
+    texts = s.select(F.col("s_suppkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.lit("Table 1: Accuracy\nNet 5.5").alias("text"))
+    out = paper.paper_tables(words, texts)
+    failed = F.max(F.exists("confidence_notes", lambda n: n.startswith("layout failed")))
+    return out.groupBy(F.col("doc").cast("long").alias("s_suppkey"), "reader").agg(F.count(F.lit(1)).alias("n"), failed.alias("failed"))
+
+
 @query("""
 SELECT s_suppkey, reader, count(*) AS n FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'layout' ELSE 'text' END AS reader, unnest(CASE WHEN s_nationkey % 2 = 0 THEN [1, 2, 3, 4] ELSE [1] END) FROM supplier) GROUP BY ALL
 """)
