@@ -6,9 +6,14 @@ emits (how many, and where they begin). A long run of characters is cut into chu
 once, which gives its state map; maps compose associatively, so a parallel prefix scan gives every chunk its true start
 state, whatever the text's length. A second run from these states emits the pieces.
 
-Merging is not a bounded-look-ahead transduction of characters, so the second level takes whole pieces as its alphabet: a
-one-state transducer whose transition on a piece emits that piece's number of tokens. Its transitions are compiled when a
-piece is first met, by the vocabulary's merges.
+Inside a piece a second transducer runs over bytes, and its transitions are annotated with the number of tokens that they
+emit. It rests on a property of merge vocabularies: a sequence of tokens is a text's encoding if and only if each token, and
+each two neighbours, are encoded as themselves. So the last token of a prefix is the one that ends there, fits the last
+token of the prefix before it, and that prefix has one token less. A state holds what that needs: the longest suffix that
+begins some token and, at each place in it, the last token and the count; a transition's count may be negative, as a longer
+token takes back shorter ones. Equal states are one, so the automaton is finite; it is compiled as far as texts visit it.
+Every piece begins in the start state: a chunk map of this level is constant wherever a piece begins, and the scan of the
+first level gives these places.
 
 Defined results: null and empty texts have no bytes and no tokens. The vocabulary's special strings inside a text are one
 token each. Repeated rows and null ids are counted like any other; extra columns are ignored.
@@ -16,7 +21,6 @@ token each. Repeated rows and null ids are counted like any other; extra columns
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -35,8 +39,8 @@ N_STATES, N_CLASSES = 11, 12
 #: Emission bits: a piece begins at this character; a piece begins at the one before it.
 HERE, BEFORE = 1, 2
 CHUNK = 256
-#: Pieces that a worker remembers.
-MEMO_PIECES = 700_000
+#: Pieces, and states of the second transducer, that a worker keeps; beyond it they are made anew.
+MEMO_PIECES, MAX_STATES = 700_000, 250_000
 
 
 def compile_splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -131,67 +135,103 @@ class Splitter:
         return begin
 
 
-class Merges(dict):
-    """piece -> its number of tokens, compiled when first met."""
+class Encoder:
+    """The vocabulary's merges, by definition: the pair of lowest rank first, the leftmost of its places first."""
 
     def __init__(self, model: dict):
-        super().__init__()
         vocab = model["vocab"]
         # the vocabulary writes bytes as printable characters: fixed by the format
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(shown))}
         self.byte = [vocab[names[b]] for b in range(256)]
-        self.pairs = {}
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(tuple(m) if not isinstance(m, str) else m.split(" ") for m in model["merges"]):
             self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        back = {c: b for b, c in names.items()}
+        self.tokens = {bytes(back[c] for c in text): k for text, k in vocab.items() if all(c in back for c in text)}
+
+    def encode(self, piece: bytes) -> list[int]:
+        """For tokens and pairs of tokens, which are short."""
+        ids = [self.byte[b] for b in piece]
+        while len(ids) > 1:
+            found = [(r[0], k, r[1]) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if (r := self.pairs.get(p))]
+            if not found:
+                break
+            _, k, merged = min(found)
+            ids[k : k + 2] = [merged]
+        return ids
+
+
+class Transducer:
+    """Counts the tokens of a piece byte by byte; ``arcs`` maps state * 256 + byte to (next state, tokens emitted)."""
+
+    def __init__(self, model: dict):
+        self.encoder = Encoder(model)
+        own = {text: k for text, k in self.encoder.tokens.items() if self.encoder.encode(text) == [k]}
+        self.token, self.text = own, {k: text for text, k in own.items()}
+        self.begins = {text[:n] for text in own for n in range(len(text))}
+        self.fits: dict[tuple[int, int], bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        # a state: the suffix, and the places where a token may begin that goes on, the first one first: how many bytes ago,
+        # the last token there, and the count there less the count here
+        self.keys = [(b"", ((0, None, 0),))]
+        self.states = {self.keys[0]: 0}
+        self.arcs: dict[int, tuple[int, int]] = {}
+
+    def _fit(self, a: int | None, b: int) -> bool:
+        if a is None:  # the piece begins here
+            return True
+        fit = self.fits.get((a, b))
+        if fit is None:
+            if len(self.fits) > 20 * MAX_STATES:
+                self.fits.clear()
+            fit = self.fits[a, b] = self.encoder.encode(self.text[a] + self.text[b]) == [a, b]
+        return fit
+
+    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+        suffix, places = self.keys[state]
+        suffix += bytes([byte])
+        ends = [(suffix[len(suffix) - ago - 1 :], ago, before, count) for ago, before, count in places]
+        for text, _, before, count in ends:  # the longest token first
+            token = self.token.get(text)
+            if token is not None and self._fit(before, token):
+                break
+        emitted = count + 1
+        open_ = [(ago + 1, before, c - emitted) for text, ago, before, c in ends if text in self.begins]
+        key = (suffix[len(suffix) - open_[0][0] :] if open_ else b"", (*open_, (0, token, 0)))
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = len(self.keys)
+            self.keys.append(key)
+        arc = self.arcs[state << 8 | byte] = (to, emitted)
+        return arc
+
+    def count(self, piece: bytes) -> int:
+        if len(self.keys) > MAX_STATES:
+            self._clear()
+        arcs, state, total = self.arcs.get, 0, 0
+        for byte in piece:
+            arc = arcs(state << 8 | byte) or self._compile(state, byte)
+            state = arc[0]
+            total += arc[1]
+        return total
+
+
+class PieceCounts(dict):
+    """piece -> its number of tokens, by the transducer when first met."""
+
+    def __init__(self, model: dict):
+        super().__init__()
+        self.transducer = Transducer(model)
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= MEMO_PIECES:
             self.clear()
-        self[piece] = n = self.count(piece.encode(errors="replace"))
+        self[piece] = n = self.transducer.count(piece.encode(errors="replace"))
         return n
 
-    def count(self, piece: bytes) -> int:
-        ids = [self.byte[b] for b in piece]
-        if len(ids) > 60:
-            return self._count_long(ids)
-        pairs = self.pairs
-        got = [pairs.get(p) for p in zip(ids, ids[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for k, r in enumerate(got):
-                if r is not None and (best is None or r[0] < best[0]):
-                    best, at = r, k
-            if best is None:
-                return len(ids)
-            ids[at : at + 2] = [best[1]]
-            del got[at]
-            if at:
-                got[at - 1] = pairs.get((ids[at - 1], ids[at]))
-            if at < len(got):
-                got[at] = pairs.get((ids[at], ids[at + 1]))
-
-    def _count_long(self, ids: list[int]) -> int:
-        """The same with a heap: n log n for a piece of n bytes."""
-        n, pairs = len(ids), self.pairs
-        left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap = [(r[0], k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := pairs.get((ids[k], ids[k + 1])))]
-        heapq.heapify(heap)
-        total = n
-        while heap:
-            _, k, a, b = heapq.heappop(heap)
-            j = right[k] if alive[k] else -1
-            if j < 0 or ids[k] != a or ids[j] != b:
-                continue
-            ids[k], alive[j], total = pairs[(a, b)][1], False, total - 1
-            right[k] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = k
-            for x, y in ((left[k], k), (k, right[k])):
-                if x >= 0 and y >= 0 and (r := pairs.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (r[0], x, ids[x], ids[y]))
-        return total
-
 
 _LOADED: dict = {}
 
@@ -203,7 +243,7 @@ class Counter:
         if pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"] or spec["normalizer"] or spec["model"]["type"] != "BPE":
             raise ValueError(f"{path}: not a byte-level vocabulary of the kind compiled here")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.splitter, self.merges = Splitter(), Merges(spec["model"])
+        self.splitter, self.pieces = Splitter(), PieceCounts(spec["model"])
 
     @classmethod
     def load(cls, path: str) -> Counter:
@@ -229,7 +269,7 @@ class Counter:
         first = np.flatnonzero(self.splitter.starts(kinds))
         of = np.searchsorted(ends, first)
         last = np.minimum(np.append(first[1:], len(joined)), ends[of])
-        emitted = np.fromiter(map(self.merges.__getitem__, [joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.int64, len(first))
+        emitted = np.fromiter(map(self.pieces.__getitem__, [joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.int64, len(first))
         totals = np.bincount(of, emitted, len(segments)).astype(np.int64).tolist()
         for k, n in zip(owner, totals, strict=True):
             out[k] += n

@@ -120,3 +120,15 @@ def test_pack_operator(spark, odd_texts, prose, with_null_id, capacity):
 def test_repeated_rows_are_each_packed(spark):
     df = frame(spark, ["a b c"])
     assert packing.pack(df.union(df), WORDS).count() == 2
+
+
+def test_transducer_emits_what_merging_gives():
+    transducer = tokcount.Counter.load(public_tokenizers.path("byte_bpe_50k.json")).pieces.transducer
+    rng = random.Random(3)
+    pieces = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))).encode() for letters in ("etaoinshr", "0123456789", "=-_", "aé日😀 ", "xX") for _ in range(200)]
+    assert [transducer.count(p) for p in pieces] == [len(transducer.encoder.encode(p)) for p in pieces]
+    # an arc may take tokens back, and its count is what the whole prefix gains
+    assert min(n for _, n in transducer.arcs.values()) < 0 < max(n for _, n in transducer.arcs.values())
+    # the automaton is finite: a run of one letter comes to a cycle
+    before = len(transducer.keys)
+    assert transducer.count(b"=" * 100_000) > 0 and len(transducer.keys) - before < 600
