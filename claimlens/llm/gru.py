@@ -2,8 +2,8 @@
 
 Symbols are the most frequent words, the end of a text, and RARE for any other word. The output is factored:
 p(symbol) = p(class | h) p(symbol | class, h), with 32 classes of 32 symbols in order of frequency. Training is truncated
-backpropagation through time over windows; scoring carries the state of each text from window to window, so a text's log
-probability is that of the complete text.
+backpropagation through time over windows. Training on texts and scoring both carry the state from window to window, so a
+text's log probability is that of the complete text.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ END, RARE = 0, 1
 HIDDEN = 16
 #: Time steps of one scoring window.
 WINDOW = 64
+#: States whose outputs are worked out at once.
+TOGETHER = 8192
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -67,11 +69,14 @@ class Gru:
 
     def _log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target after each state."""
+        if len(target) > TOGETHER:  # a part at a time, which the caches hold
+            cuts = range(0, len(target), TOGETHER)
+            return np.concatenate([self._log_probs(h[c : c + TOGETHER], target[c : c + TOGETHER]) for c in cuts])
         k, j = target // PER_CLASS, target % PER_CLASS
         a = h @ self.p["cls"] + self.p["cls_bias"]
         a -= a.max(axis=1, keepdims=True)
         out = a[np.arange(len(k)), k] - np.log(np.exp(a).sum(axis=1))
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k.astype(np.int16), kind="stable")
         cut = np.searchsorted(k[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             at = order[cut[c] : cut[c + 1]]
@@ -117,17 +122,24 @@ class Gru:
                 total[np.asarray(part[:live])] += np.bincount(np.concatenate(owners), lp, live)
         return total
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """(mean negative log likelihood, gradient) of windows x -> y (rows of equal length; y < 0 is padding)."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, state: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+        """(mean negative log likelihood, gradient) of windows x -> y (rows of equal length; y < 0 is padding).
+
+        Rows start from ``state``, which is left as it is after the window; a text's begin forgets what was before it.
+        """
         b, steps = x.shape
         p, flat = self.p, np.zeros_like(self.flat)
         g = self._views(flat)
-        h, trace, hs = np.zeros((b, HIDDEN), np.float32), [], []
+        h, trace, hs = np.zeros((b, HIDDEN), np.float32) if state is None else state.copy(), [], []
+        goes_on = (x != N_SYMBOLS).astype(np.float32)[:, :, None]
         for t in range(steps):
+            h = h * goes_on[:, t]
             new, z, r, u, n = self._recur(x[:, t], h)
             trace.append((h, z, r, u, n))
             h = new
             hs.append(h)
+        if state is not None:
+            state[:] = h
         hall = np.concatenate(hs)
         target = y.T.reshape(-1)
         real = target >= 0
@@ -135,7 +147,8 @@ class Gru:
         target = np.where(real, target, 0)
         k, j = target // PER_CLASS, target % PER_CLASS
         a = hall @ p["cls"] + p["cls_bias"]
-        a = np.exp(a - a.max(axis=1, keepdims=True))
+        a -= a.max(axis=1, keepdims=True)
+        np.exp(a, out=a)
         a /= a.sum(axis=1, keepdims=True)
         row = np.arange(len(k))
         loss = -(np.log(a[row, k] + 1e-20) * weight).sum()
@@ -143,13 +156,14 @@ class Gru:
         a *= weight[:, None]
         g["cls"][:], g["cls_bias"][:] = hall.T @ a, a.sum(axis=0)
         dh = a @ p["cls"].T
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k.astype(np.int16), kind="stable")
         cut = np.searchsorted(k[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             at = order[cut[c] : cut[c + 1]]
             if len(at):
                 q = hall[at] @ p["within"][c] + p["within_bias"][c]
-                q = np.exp(q - q.max(axis=1, keepdims=True))
+                q -= q.max(axis=1, keepdims=True)
+                np.exp(q, out=q)
                 q /= q.sum(axis=1, keepdims=True)
                 i = np.arange(len(at))
                 loss -= (np.log(q[i, j[at]] + 1e-20) * weight[at]).sum()
@@ -171,17 +185,31 @@ class Gru:
             da[t] = np.concatenate([dzr, dn], axis=1)
             g["gates"] += h0.T @ dzr
             g["cand"] += h0.T @ du
-            back = d * z + dzr @ p["gates"].T + du @ p["cand"].T
-        seen, where = np.unique(x.T.reshape(-1), return_inverse=True)
-        by = np.argsort(where, kind="stable")
-        edges = np.searchsorted(where[by], np.arange(len(seen)))
-        g["inputs"][seen] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[by], edges, axis=0)
+            back = (d * z + dzr @ p["gates"].T + du @ p["cand"].T) * goes_on[:, t]
+        read = x.T.reshape(-1).astype(np.int16)
+        by = np.argsort(read, kind="stable")
+        read = read[by]
+        edges = np.flatnonzero(np.diff(read, prepend=-1))
+        g["inputs"][read[edges]] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[by], edges, axis=0)
         return float(loss), flat
 
+    def _adam(self, rate: float):
+        """A step function: Adam with clipped gradients."""
+        m, v, step = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+
+        def update(g: np.ndarray) -> None:
+            nonlocal m, v, step
+            g *= min(1.0, 1.0 / (float(np.sqrt((g * g).sum())) + 1e-12))
+            step += 1
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            self.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+
+        return update
+
     def train(self, windows: list[np.ndarray], *, epochs: int, batch: int = 128, rate: float = 0.01, seed: int = 1) -> float:
-        """Adam with clipped gradients; a window holds its left context symbol and then its targets. Last mean loss."""
-        rng = np.random.default_rng(seed)
-        m, v, step, loss = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, 0.0
+        """On single windows, in random order; a window holds its left context symbol and then its targets. Last mean loss."""
+        rng, update, loss = np.random.default_rng(seed), self._adam(rate), 0.0
         for _ in range(epochs):
             order, losses = rng.permutation(len(windows)), []
             for k in range(0, len(order), batch):
@@ -190,12 +218,30 @@ class Gru:
                 for i, w in enumerate(part):
                     x[i, : len(w) - 1], y[i, : len(w) - 1] = w[:-1], w[1:]
                 one, g = self.gradient(x, y)
-                norm = float(np.sqrt((g * g).sum()))
-                g *= min(1.0, 1.0 / (norm + 1e-12))
-                step += 1
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                self.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+                update(g)
                 losses.append(one)
             loss = float(np.mean(losses)) if losses else 0.0
         return loss
+
+    def train_texts(self, texts: list[np.ndarray], *, rate: float = 0.003, streams: int = 256, steps: int = 32) -> int:
+        """One pass over whole texts by truncated backpropagation; the number of symbols.
+
+        The texts stand end to end, cut into ``streams`` rows that run in step; windows of ``steps`` symbols are learnt one
+        after the other, and the state that a window ends with is what the next one starts from.
+        """
+        total = sum(map(len, texts))
+        if not total:
+            return 0
+        flat = np.concatenate(texts).astype(np.int64)
+        x = np.empty(total, np.int64)
+        x[1:] = flat[:-1]
+        x[np.cumsum([0, *map(len, texts)])[:-1][[len(t) > 0 for t in texts]]] = N_SYMBOLS
+        rows = max(1, min(streams, total // steps))
+        width = -(-total // rows)
+        pad = rows * width - total
+        x = np.concatenate([x, np.full(pad, END)]).reshape(rows, width)
+        y = np.concatenate([flat, np.full(pad, -1)]).reshape(rows, width)
+        state, update = np.zeros((rows, HIDDEN), np.float32), self._adam(rate)
+        for t in range(0, width, steps):
+            update(self.gradient(x[:, t : t + steps], y[:, t : t + steps], state)[1])
+        return total

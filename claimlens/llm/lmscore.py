@@ -1,12 +1,14 @@
 """Scores of whole texts under a word unigram base and a gated recurrent model of the training texts.
 
-1. Texts are dealt by a hash of their id into blocks of about ``BLOCK_BYTES``; a block's distinct training words and their
-   counts are its share of the vocabulary.
+1. Texts are dealt by a hash of their id into blocks of about ``BLOCK_BYTES``, so what a block holds does not depend on the
+   files or partitions they come from; a block's distinct training words and their counts are its share of the vocabulary.
 2. Shares meet in shards keyed by word: this gives each word's corpus count, and each block gets back the counts of just
-   its own words. No vocabulary is broadcast or collected, whatever its size.
-3. The recurrent model's symbols are the most frequent words (a fixed number, of at least 1 / 200,000 of the tokens). It is started on the driver on a bounded
-   number of windows, then trained by every task on all words and ends of the training documents of its share of the
-   input; the parameters are averaged, weighted by windows, in shards. So training grows with the input.
+   its own words. Words with a share of ``HOT`` of the tokens or more (1 / HOT of them at most) have a row from nearly every
+   block: they are summed ahead of the shuffle and given back by broadcast. No other vocabulary is broadcast or collected.
+3. The recurrent model's symbols are the most frequent words (a fixed number, of at least 1 / 200,000 of the tokens). It is
+   started on the driver on a bounded number of windows, then trained in every block on all words and ends of its training
+   texts, in the order of their ids, the state carried from window to window; the parameters are averaged over the blocks,
+   weighted by symbols, in shards. So training grows with the input and is the same for any layout of it.
 4. Each block's texts are scored whole. A rare word costs the probability of RARE times its share of the rare words' mass
    under the base, so the model is a distribution over the same words as the base.
 
@@ -28,13 +30,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_for, body, materialize, sample_ids, slices
+from .common import blocks_for, body, forget, materialize, sample_ids, slices
 from .gru import END, N_SYMBOLS, RARE, Gru
 
 BLOCK_BYTES = 12_000_000
 #: The end token, as a word that no text can hold.
 END_WORD = b" "
-#: Windows of the start on the driver, and the length of all windows.
+#: Share of the training tokens from which a word counts as hot.
+HOT = 1 / 20_000
+#: Windows of the start on the driver, and their length.
 START_WINDOWS, START_EPOCHS, LENGTH = 6_000, 4, 32
 SHARD = 4096  # parameters averaged together
 #: Least share of the training tokens of a word that is a symbol.
@@ -50,24 +54,36 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _squeezed(docs: DataFrame, n_blocks: int, learn: Column) -> DataFrame:
-    """doc_id, learn, block and the text compressed, for the shuffles to blocks."""
+    """block, doc_ids, learn, lengths and the texts end to end, compressed: a row for each block's part of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "body", 8_000_000):
-            packed = pa.array([squeeze.compress(t) for t in batch.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), packed], names=["block", "doc_id", "learn", "packed"])
-
+            blocks, texts = np.asarray(batch.column(0)), batch.column(3).to_pylist()
+            order = np.argsort(blocks, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1)
+            lists = lambda column: pa.array([column.take(pa.array(p)).to_pylist() for p in parts], pa.list_(column.type))  # noqa: B023, E731
+            own = [[texts[i] for i in p.tolist()] for p in parts]
+            lengths = pa.array([list(map(len, t)) for t in own], pa.list_(pa.int64()))
+            packed = pa.array([squeeze.compress(b"".join(t)) for t in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([blocks[p[0]] for p in parts], pa.int32()), lists(batch.column(1)), lists(batch.column(2)), lengths, packed], names=names)
+
+    names = ["block", "doc_ids", "learn", "lengths", "packed"]
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     block = F.pmod(F.xxhash64("doc_id", spread), F.lit(n_blocks)).cast("int").alias("block")
-    rows = docs.select(block, "doc_id", F.coalesce(learn, F.lit(False)).alias("learn"), body().alias("body"))
-    return rows.mapInArrow(run, "block int, doc_id long, learn boolean, packed binary")
+    rows = docs.select(block, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), body().alias("body"))
+    return rows.mapInArrow(run, "block int, doc_ids array<long>, learn array<boolean>, lengths array<long>, packed binary")
 
 
-def _unpacked(table: pa.Table, column: str) -> Iterator[tuple[int, bytes]]:
+def _unpacked(table: pa.Table) -> Iterator[tuple[int | None, bool, bytes]]:
+    """(doc_id, learn, text) of a block's rows, one part after the other."""
     reader = zstandard.ZstdDecompressor()
-    for k, packed in enumerate(table.column(column)):
-        yield k, reader.decompress(packed.as_py())
+    for k in range(table.num_rows):
+        ids, learn, lengths = (table.column(c)[k].as_py() for c in ("doc_ids", "learn", "lengths"))
+        flat, at = reader.decompress(table.column("packed")[k].as_py(), max_output_size=sum(lengths)) if sum(lengths) else b"", 0
+        for doc_id, use, n in zip(ids, learn, lengths, strict=True):
+            yield doc_id, use, flat[at : at + n]
+            at += n
 
 
 def _shares(squeezed: DataFrame) -> DataFrame:
@@ -76,9 +92,8 @@ def _shares(squeezed: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         learnt: Counter = Counter()
         seen: set[bytes] = set()
-        learn = table.column("learn").to_pylist()
-        for k, text in _unpacked(table, "packed"):
-            if learn[k]:
+        for _, learn, text in _unpacked(table):
+            if learn:
                 learnt.update(words_of(text))
             else:
                 seen.update(words_of(text))
@@ -109,10 +124,21 @@ def _train_windows(batches: Iterator[pa.RecordBatch], symbols: dict[bytes, int])
     return out
 
 
-def train(docs: DataFrame, learn: Column, symbols: dict[bytes, int], counts: np.ndarray, *, epochs: int = 1) -> Gru:
-    """Start on the driver, then one round of training by all tasks and weighted averaging."""
+def _counted(shares: DataFrame, total: int) -> DataFrame:
+    """(block, word, n, c, blocks): each share with its word's corpus count and number of blocks."""
+    sums = [F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks")]
+    # tasks sum their own rows first, so a word sends a row from each task, and the sums of hot words are few
+    hot = shares.filter(F.col("n") > 1).groupBy("word").agg(F.sum("n").alias("most")).filter(F.col("most") >= max(2, total * HOT)).select("word")
+    hot = materialize(shares.join(F.broadcast(hot), "word", "left_semi").groupBy("word").agg(*sums), "lm-hot")
+    of_word = Window.partitionBy("word")  # a word has at most one row from each block
+    rare = shares.join(F.broadcast(hot.select("word")), "word", "left_anti")
+    rare = rare.select("block", "word", "n", F.sum("n").over(of_word).alias("c"), F.count(F.lit(1)).over(of_word).alias("blocks"))
+    return rare.unionByName(shares.join(F.broadcast(hot), "word").select(rare.columns))
+
+
+def train(docs: DataFrame, squeezed: DataFrame, learn: Column, symbols: dict[bytes, int], counts: np.ndarray) -> Gru:
+    """Start on the driver, then one pass of training in every block and weighted averaging."""
     spark = docs.sparkSession
-    texts = docs.filter(learn).select(body().alias("body"))
     model = Gru()
     model.set_frequencies(counts)
     share = spark.sparkContext.broadcast(symbols)
@@ -130,22 +156,24 @@ def train(docs: DataFrame, learn: Column, symbols: dict[bytes, int], counts: np.
     model.train(windows, epochs=START_EPOCHS)
     begun = spark.sparkContext.broadcast(model.flat)
 
-    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _train_windows(batches, share.value)
-        if own:
-            local = Gru(begun.value)
-            local.train(own, epochs=epochs, rate=0.003)
-            total = local.flat.astype(np.float64) * len(own)
-            at = range(0, len(total), SHARD)
-            arrays = [pa.array(range(len(at)), pa.int32()), pa.array([len(own)] * len(at), pa.int64()), pa.array([total[k : k + SHARD].tobytes() for k in at], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "n", "total"])
+    def more(table: pa.Table) -> pa.Table:
+        texts = sorted((d, t) for d, use, t in _unpacked(table) if use)
+        words = map(words_of, (t for _, t in texts))
+        local = Gru(begun.value)
+        n = local.train_texts([np.fromiter(map(share.value.get, w, repeat(RARE)), np.int16, len(w)) for w in words])
+        total = local.flat.astype(np.float64) * n
+        at = range(0, len(total), SHARD)
+        block = table.column("block")[0].as_py()
+        return pa.table({"shard": pa.array(range(len(at)), pa.int32()), "block": pa.array([block] * len(at), pa.int32()), "n": pa.array([n] * len(at), pa.int64()), "total": pa.array([total[k : k + SHARD].tobytes() for k in at], pa.binary())})
 
     def average(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("total")) / sum(table.column("n").to_pylist())
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "n", "total")), strict=True))
+        total = sum(np.frombuffer(x, np.float64) for _, _, x in rows) / sum(n for _, n, _ in rows)
         return pa.table({"shard": table.column("shard")[:1], "mean": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "shard int, n long, total binary"
-    rows = texts.mapInArrow(more, schema).groupBy("shard").applyInArrow(average, "shard int, mean binary").collect()
+    schema = "shard int, block int, n long, total binary"
+    blocks = squeezed.groupBy("block").applyInArrow(more, schema).filter("n > 0")
+    rows = blocks.groupBy("shard").applyInArrow(average, "shard int, mean binary").collect()
     if rows:
         model = Gru(np.concatenate([np.frombuffer(r[1], np.float64) for r in sorted(rows)]))
     return model
@@ -165,8 +193,12 @@ def _score(squeezed: DataFrame, known: DataFrame, symbols: dict[bytes, int], mod
         for w, s in symbols.items():
             if (k := index.get(w)) is not None:
                 symbol[k] = s
-        rows, sequences = [], []
-        for _, text in _unpacked(texts, "packed"):
+        rows, sequences, ids, place, first = [], [], [], [], {}
+        for doc_id, _, text in _unpacked(texts):
+            ids.append(doc_id)
+            place.append(first.setdefault(text, len(rows)))  # equal texts are scored once
+            if place[-1] < len(rows):
+                continue
             words = words_of(text)
             at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
             own = symbol[at]
@@ -178,7 +210,8 @@ def _score(squeezed: DataFrame, known: DataFrame, symbols: dict[bytes, int], mod
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         long, double = pa.int64(), pa.float64()
         arrays = [pa.array(cols[0], long), pa.array(cols[1], long), pa.array(cols[2], double), pa.array(scores, double), pa.array(cols[3], double), pa.array(cols[4], long)]
-        return pa.table([texts.column("doc_id").cast(long), *arrays], names=names)
+        back = pa.array(place, long)
+        return pa.table([pa.array(ids, long), *(x.take(back) for x in arrays)], names=names)
 
     names = [x.split()[0] for x in SCORE_SCHEMA.split(", ")]
     return squeezed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, SCORE_SCHEMA)
@@ -189,9 +222,9 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     squeezed = _squeezed(docs, blocks_for(size, BLOCK_BYTES), learn)
-    of_word = Window.partitionBy("word")  # a word has at most one row from each block
-    c, blocks = F.sum("n").over(of_word), F.count(F.lit(1)).over(of_word)
-    known = materialize(_shares(squeezed).select("block", "word", "n", c.alias("c"), blocks.alias("blocks")), "lm-words")
+    shares = materialize(_shares(squeezed), "lm-shares")
+    known = materialize(_counted(shares, shares.agg(F.sum("n")).first()[0] or 0), "lm-words")
+    forget(shares)
     # each word's rows add up to one
     row = known.agg(F.sum("n"), F.sum(F.when(F.col("c") > 0, 1.0 / F.col("blocks"))), F.max(F.when(F.col("word") == F.lit(END_WORD), F.col("c")))).first()
     n, v, ends = row[0] or 0, round(row[1] or 0), row[2] or 0
@@ -203,7 +236,7 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     freq = np.zeros(N_SYMBOLS)
     freq[2 : 2 + len(top)] = [r[1] for r in top]
     freq[END], freq[RARE] = ends, max(0, n - ends - sum(r[1] for r in top))
-    model = train(docs, F.coalesce(learn, F.lit(False)), symbols, freq)
+    model = train(docs, squeezed, F.coalesce(learn, F.lit(False)), symbols, freq)
     # the base's mass of all words that are RARE, the unseen one included
     named = (ends + 0.1 if ends else 0) + sum(r[1] + 0.1 for r in top)
     rare_mass = math.log10(max(n + 0.1 * (v + 1) - named, 0.1))

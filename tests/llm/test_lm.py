@@ -51,6 +51,60 @@ def test_training_learns_order():
     assert g.train(windows, epochs=150, batch=32) < 0.2 < first
 
 
+def test_training_carries_the_state():
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(0, N_SYMBOLS, n), 0).astype(np.int16) for n in (90, 7, 0, 200, 64)]
+    g, seen = Gru(), []
+    whole = g.gradient
+
+    def spy(x, y, state):
+        seen.append((x.copy(), y.copy(), state.copy()))
+        return whole(x, y, state)[0], np.zeros_like(g.flat)  # the parameters stay
+
+    g.gradient = spy
+    assert g.train_texts(texts, streams=2, steps=32) == sum(map(len, texts))
+    y = np.concatenate([s[1] for s in seen], axis=1).reshape(-1)
+    assert y[y >= 0].tolist() == np.concatenate(texts).tolist()
+    x = np.concatenate([s[0] for s in seen], axis=1).reshape(-1)
+    ends = np.cumsum([len(t) for t in texts])
+    assert np.flatnonzero(x == N_SYMBOLS).tolist() == [0, *ends[:-1].tolist()]
+    # the loss over all windows is that of the whole texts but for the one that the second row begins in
+    state = np.zeros((1, 16), np.float32)
+    losses = [g.__class__.gradient(g, s[0][:1], s[1][:1], state)[0] * (s[1][:1] >= 0).sum() for s in seen]
+    row = np.concatenate([s[1][:1] for s in seen], axis=1)[0]
+    parts = np.split(row, [k for k in ends.tolist() if k < len(row)])
+    assert sum(losses) == pytest.approx(-g.score(parts).sum(), rel=1e-4)
+    assert np.abs(seen[1][2]).max() > 0
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch, prose):
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 6_000)
+    docs = frame(spark, prose * 2)
+    runs = []
+    for n in (1, 3, 11):
+        rows = lmscore.score_texts(docs.repartition(n, F.rand(n)), remainder(10) != 0).collect()
+        runs.append({r["doc_id"]: (r["score"], r["base_score"], r["n_known"], r["train_tokens"]) for r in rows})
+    assert len(runs[0]) == 2 * len(prose)
+    for other in runs[1:]:
+        assert all(other[k] == pytest.approx(v, rel=1e-6) for k, v in runs[0].items())
+
+
+def test_hot_words_are_counted_like_all_others(spark):
+    rng = np.random.default_rng(2)
+    rows = [(b, f"w{k}".encode(), int(rng.integers(0, 40 if k < 9 else 2))) for b in range(12) for k in range(60) if k % 3 or b < 2]
+    shares = spark.createDataFrame(rows, "block int, word binary, n long")
+    want = Counter()
+    for _, w, n in rows:
+        want[w] += n
+    total = sum(want.values())
+    blocks = Counter(w for _, w, _ in rows)
+    for part in (1e-9, 0.03, 2.0):  # all hot, some, none
+        lmscore.HOT, before = part, lmscore.HOT
+        got = sorted((r["block"], bytes(r["word"]), r["n"], r["c"], r["blocks"]) for r in lmscore._counted(shares, total).collect())
+        lmscore.HOT = before
+        assert got == sorted((b, w, n, want[w], blocks[w]) for b, w, n in rows)
+
+
 def brute_base(texts):
     counts = Counter()
     for k, t in texts.items():
