@@ -28,6 +28,8 @@ STRIP = "\t\n\x0b\x0c\r "
 HOT = 2_000
 #: Rows of the hot side that may be broadcast; beyond it the hot bound is raised, so that fewer lines are hot.
 HOT_ROWS = 100_000
+#: Occurrences for each bucket of the runs, 33 bytes each, until there are as many buckets as a table may have.
+BUCKET_ROWS, MAX_BUCKETS = 500_000, 100_000
 
 
 def lines_of(text: str = "text") -> Column:
@@ -58,9 +60,9 @@ def occurrences(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
 class LineRuns:
     """The levelled runs. ``levels[k]`` lists the runs of level k, oldest first."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._tables: dict[int, tuple[str, str]] = {}
 
     def runs(self) -> list[DataFrame]:
@@ -94,7 +96,7 @@ class LineRuns:
             new = run.select("hash")
             for old in self.runs():  # merges sorted buckets: only the batch moves
                 new = new.join(old.select("hash").hint("merge"), "hash", "left_anti")
-            run = run.join(new.withColumn("is_new", F.lit(True)), "hash", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+            run = run.join(new.withColumn("is_new", F.lit(True)).hint("merge"), "hash", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
         else:
             run = run.withColumn("is_new", F.lit(True))
         stored = self._store(run, 0)
@@ -139,6 +141,16 @@ class LineRuns:
         return out
 
 
+def bucket_count(spark: SparkSession, rows: int) -> int:
+    """Buckets of the runs for so many occurrences: by their number, as each bucket is a file to write and a task to merge.
+
+    Where the session does not let shuffles be sized by their data, its own number of partitions holds.
+    """
+    if spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") != "true":
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS)))
+
+
 def dropped_lines(occ: DataFrame, frequent: DataFrame) -> DataFrame:
     """(drop_id, drop_key, drops): the places of the lines that each document row loses.
 
@@ -165,7 +177,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batc
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", *carry)
     occ = materialize(occurrences(docs, min_chars, batches), "line-occurrences", partition_by="batch")
-    runs = LineRuns(spark, fanout)
+    runs = LineRuns(spark, fanout, bucket_count(spark, occ.count()))
     for k in range(batches):
         runs.add(occ.filter(F.col("batch") == k))
     frequent = materialize(runs.frequent(min_docs), "line-frequent")
