@@ -30,14 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts the lineage, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/claimlens/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     schema = df.schema
     for field in schema.fields:
         field.nullable = True

@@ -1,8 +1,8 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A run holds (hash, n_docs, max_doc, is_new) in buckets of the hash, sorted in each. A new batch of documents is merged with
-the older runs, bucket by bucket and without moving them: an anti-join tells the hashes that no older run has, and the
-batch is added as a run of level 0, its rows marked by that. When a level holds ``fanout`` runs they are compacted into one
+the older runs, bucket by bucket and without moving them: an anti-join tells the hashes that no older run has (an outer
+merge whose unmatched rows are its result, so that all rows stay, marked), and the batch is added as a run of level 0. When a level holds ``fanout`` runs they are compacted into one
 run of the next level (counts add up, the largest document id wins).
 
 The marks decide what is looked up at the end: a hash that came up again has a row that is not new, and only such hashes
@@ -16,6 +16,7 @@ ignored.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,10 +70,10 @@ class LineRuns:
         return [r for level in self.levels for r in level]
 
     def _store(self, run: DataFrame, level: int) -> DataFrame:
-        """The run as a table of sorted buckets, one file each, in the shared folder."""
+        """The run, dealt into buckets by its caller, as a table of sorted buckets, one file each, in the shared folder."""
         name = f"claimlens_line_run_{level}_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/claimlens/{name}"
-        run.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
+        run.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
         out = self.spark.table(name)
         out._claimlens_path = path  # noqa: SLF001
         self._tables[id(out)] = (name, path)
@@ -91,14 +92,13 @@ class LineRuns:
     def add(self, occ: DataFrame) -> DataFrame:
         """Add one batch of (hash, doc_id); returns its run, where ``is_new`` marks the hashes that no older run has."""
         run = occ.groupBy("hash").agg(F.countDistinct(F.coalesce(F.col("doc_id"), F.lit(-(2**63)))).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        if self.runs():
-            run = materialize(run, "line-batch")
-            new = run.select("hash")
-            for old in self.runs():  # merges sorted buckets: only the batch moves
-                new = new.join(old.select("hash").hint("merge"), "hash", "left_anti")
-            run = run.join(new.withColumn("is_new", F.lit(True)).hint("merge"), "hash", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
-        else:
-            run = run.withColumn("is_new", F.lit(True))
+        run = run.repartition(self.buckets, "hash")
+        found = []
+        for k, old in enumerate(self.runs()):  # merges sorted buckets: only the batch moves, once
+            run = run.join(old.select("hash", F.lit(True).alias(f"in_{k}")).hint("merge"), "hash", "left")
+            found.append(F.col(f"in_{k}").isNull())
+        is_new = reduce(Column.__and__, found, F.lit(True))  # what an anti-join with all runs leaves
+        run = run.select("hash", "n_docs", "max_doc", is_new.alias("is_new"))
         stored = self._store(run, 0)
         self.levels[0].append(stored)
         self._compact()
@@ -144,7 +144,7 @@ class LineRuns:
 def bucket_count(spark: SparkSession, rows: int) -> int:
     """Buckets of the runs for so many occurrences: by their number, as each bucket is a file to write and a task to merge.
 
-    Where the session does not let shuffles be sized by their data, its own number of partitions holds.
+    Every file costs its writer a process or two on file systems that set rights by a command. Where the session does not let shuffles be sized by their data, its own number of partitions holds.
     """
     if spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") != "true":
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -176,7 +176,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batc
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", *carry)
-    occ = materialize(occurrences(docs, min_chars, batches), "line-occurrences", partition_by="batch")
+    # sorted by batch in each file, so a batch reads its own pages of few files
+    occ = materialize(occurrences(docs, min_chars, batches).sortWithinPartitions("batch"), "line-occurrences")
     runs = LineRuns(spark, fanout, bucket_count(spark, occ.count()))
     for k in range(batches):
         runs.add(occ.filter(F.col("batch") == k))
