@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import forget, materialize
 
+#: Rows (16 bytes) of one file between rounds.
+ROWS_PER_FILE = 2_000_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b) with a < b."""
@@ -38,7 +41,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     edges = materialize(pairs, "components")
     while not _all_stars(edges):
-        after = materialize(_star(_star(edges, True), False), "components")
+        # a round leaves about as many rows as it had: no more files than they fill
+        parts = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // ROWS_PER_FILE))
+        after = materialize(_star(_star(edges, True), False).coalesce(parts), "components")
         forget(edges)
         edges = after
     roots = edges.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("component"))
