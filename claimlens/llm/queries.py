@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, knlm, linededup, lmscore, media, neardup, packing, pii, tokcount, toxicity
+from . import decontam, dualtree, knlm, linededup, lmscore, media, neardup, packing, pii, tokcount, toxicity, vectorcodes
 from .common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knlm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.encode(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return dualtree.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, s[i] AS line, lower_ascii AS k FROM (
@@ -84,9 +94,63 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: Vectors as whole numbers; those that are null or hold null or non-finite components are left out.
+_WHOLE = """SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _round(k: int) -> str:
+    """Assignment of all parts to the entries of codebook k, as table a{k}."""
+    return f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, arg_min(struct_pack(e := entry, d := d), (d, entry)) AS best FROM (
+    SELECT p.*, c.entry, list_sum(list_transform(list_zip(p.x, c.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts p JOIN c{k} c USING (part)) GROUP BY vec_id, label, part, x)"""
+
+
+def _refined(k: int) -> str:
+    """Codebook k + 1 from the assignment to codebook k."""
+    return f"""m{k} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM (
+    SELECT part, best.e AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS n
+    FROM a{k}, (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM parts))) AS i) GROUP BY ALL) GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.y, c.y) AS y FROM c{k} c LEFT JOIN m{k} m USING (part, entry))"""
+
+
+OP11_SQL = f"""
+WITH w AS MATERIALIZED ({_WHOLE}),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM w, (SELECT unnest(range(16)) AS part)),
+c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS y FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM w ORDER BY vec_id LIMIT 64)),
+{_round(0)}, {_refined(0)}, {_round(1)}, {_refined(1)}, {_round(2)},
+coded AS (
+  SELECT vec_id, label, string_agg(lpad(to_hex(best.e), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+OP12_SQL = f"""
+WITH w AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({_WHOLE}) WHERE label IS NOT NULL),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same,
+    list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM w a JOIN w c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op9_line_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_hard_negatives": OP12_SQL}
