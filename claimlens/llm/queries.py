@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dualtree, knlm, linededup, lmscore, media, neardup, packing, pii, tokcount, toxicity, vectorcodes
+from . import decontam, dualtree, knlm, linededup, lmscore, media, neardup, ngramjoin, packing, pii, tokcount, toxicity, vectorcodes
 from .common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dualtree.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, s[i] AS line, lower_ascii AS k FROM (
@@ -148,9 +152,27 @@ QUALIFY row_number() OVER w <= 10
 """
 
 
+def _jaccard_sql(size: int, percent: int, kept: str = "") -> str:
+    """Documents linked by the similarity of their word shingles, and the smallest id reachable from each."""
+    return rf"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - {size - 1}, 1) + 1), lambda i: array_to_string(w[i : i + {size - 1}], ' '))) AS s FROM words WHERE len(w) > 0),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b USING (item) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT doc_id, least(doc_id, min(other)) AS root FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id{kept}
+FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op4_near_dedup": _jaccard_sql(3, 85, ", coalesce(root, doc_id) = doc_id AS kept"), "op9_line_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_jaccard_join": _jaccard_sql(4, 85)}
