@@ -41,7 +41,7 @@ REGION = np.uint64(3 << 61)
 #: Documents that make an n-gram frequent, and how many frequent ones are told to all tasks (8 bytes each) at most.
 FREQUENT, MOST_FREQUENT = 64, 1_000_000
 #: Counted n-grams that a task holds before it gives them out, and bytes of text for each range of hashes.
-HELD, RANGE_BYTES = 4_000_000, 8_000_000
+HELD, RANGE_BYTES = 1_000_000, 8_000_000
 #: Groups of a bucket that are joined pair by pair; larger buckets are dealt into cells.
 LIGHT = 64
 _HEAVY = np.uint64(1 << 63)
@@ -63,7 +63,7 @@ def _counted(docs: DataFrame, size: int) -> DataFrame:
         held, n = [], 0
         for batch in slices(batches, "body", SLICE):
             for s in shingle_sets(*buffers(batch.column(0)), size):
-                low = s[: np.searchsorted(s, REGION)]
+                low = s[: np.searchsorted(s, REGION)].copy()  # a view would hold the whole set
                 held.append(low)
                 n += len(low)
             if n >= HELD:
