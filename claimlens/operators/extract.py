@@ -1,8 +1,8 @@
 """Metric values from text lines, JSON, JSON lines and delimited tables.
 
-Text lines and JSON are projections and generators over built-in functions, without a shuffle; Python reads only delimited
-tables and deeply nested JSON. Rows carry ``ord``, the order in
-which a reader of the source meets them (line, pass, place), since first and last depend on it.
+Text lines and JSON are projections and generators over built-in functions, without a shuffle; only deeply nested JSON is
+shuffled, by a recursive query. Python reads delimited tables alone. Rows carry ``ord``, the order in which a reader of the
+source meets them (line, pass, place), since first and last depend on it.
 """
 
 from __future__ import annotations
@@ -10,9 +10,7 @@ from __future__ import annotations
 import csv
 import io
 import itertools
-import json
 import re
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +25,8 @@ MAX_LINE = 2000
 MAX_TEXT = 300
 MAX_ITEMS = 1000
 MAX_VALUES = 5000
+#: What the JSON parser takes: nested brackets, digits of a number.
+MAX_NESTING, MAX_DIGITS = 1000, 1000
 
 
 def lines(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -96,52 +96,69 @@ def _one_json(text: Column) -> Column:
     return F.when(F.try_variant_get(boxed, "$[1]", "variant").isNull(), F.try_variant_get(boxed, "$[0]", "variant"))
 
 
-def _leaves(value, path: str = "", pos: tuple[int, ...] = ()) -> Iterator[tuple[str, float, list[int]]]:
-    """(path, number, place) of every number below a value, to any depth: a stack, as nesting may exceed Python's own."""
-    stack = [(value, path, pos)]
-    while stack:
-        value, path, pos = stack.pop()
-        if isinstance(value, dict):
-            items = [(f"{path}.{k}" if path else k, value[k]) for k in sorted(value)]
-        elif isinstance(value, list):
-            items = [(f"{path}[{i}]", v) for i, v in enumerate(value[:MAX_ITEMS])]
-        else:
-            if isinstance(value, int | float) and not isinstance(value, bool):
-                yield path, float(value), list(pos)
-            continue
-        stack += [(v, p, (*pos, i)) for i, (p, v) in reversed(list(enumerate(items)))]
-
-
-@F.udtf(returnType="path string, value double, pos array<int>")
-class _DeepLeaves:
-    """The numbers of one JSON text of any nesting."""
-
-    def eval(self, text: str):
-        before = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(before, 2 * len(text) + 1000 if len(text) < 50_000 else 100_000))
-        try:
-            yield from _leaves(json.loads(text))
-        except (ValueError, RecursionError):
-            return
-        finally:
-            sys.setrecursionlimit(before)
-
-
-def json_values(docs: DataFrame, text: str = "text", depth: int = 12, keep: list[str] | None = None) -> DataFrame:
-    """Numbers of JSON documents by path (a.b[0].c), booleans and strings left out, lists cut at 1000 items.
+def nesting(text: Column) -> Column:
+    """The greatest depth of open brackets outside of strings."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
+    step = lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    A text that is no JSON document is read as JSON lines: bad lines are skipped and the line is the physical one; in a
-    document it is the first line that holds the leaf's quoted key. Values with at most ``depth`` opening brackets, which
-    cannot be nested deeper, are flattened level by level by built-in generators; all others by a stack in Python, so no
-    nesting loses numbers.
+    def after(a: Column, c: Column) -> Column:
+        now = a["now"] + step(c)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, after, lambda a: a["most"])
+
+
+def _number_of(v: Column) -> Column:
+    """A variant's number, as a double; null for all else. Containers fail the first test, which is the cheap one."""
+    return F.when(F.try_variant_get(v, "$", "double").isNotNull() & F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+
+
+#: The recursion ends by itself, at the deepest nesting that the parser takes; its rows have no limit.
+_TREES = f"""
+WITH RECURSIVE nodes(_key, _path, _v, _pos) MAX RECURSION LEVEL {MAX_NESTING + 100} AS (
+  SELECT _key, '', _v, CAST(array() AS ARRAY<INT>) FROM {{trees}}
+  UNION ALL
+  SELECT n._key,
+    CASE WHEN c.key IS NULL THEN concat(n._path, '[', c.pos, ']') WHEN n._path = '' THEN c.key ELSE concat(n._path, '.', c.key) END,
+    c.value, concat(n._pos, array(c.pos))
+  FROM nodes n, LATERAL variant_explode(n._v) c WHERE c.key IS NOT NULL OR c.pos < {MAX_ITEMS})
+SELECT * FROM nodes LIMIT ALL"""
+
+
+def _deep_leaves(values: DataFrame, keep: list[str]) -> DataFrame:
+    """The leaves of deeply nested values, by recursion over their nodes.
+
+    The recursion shuffles its nodes, so they carry a digest of their text and no more; equal texts are one tree.
     """
-    keep = keep if keep is not None else [c for c in docs.columns if c != text]
+    deep = values.withColumn("_key", F.sha2("_raw", 256)).drop("_v")
+    trees = deep.groupBy("_key").agg(F.first("_raw").alias("_raw")).select("_key", _one_json(F.col("_raw")).alias("_v"))
+    leaves = values.sparkSession.sql(_TREES, trees=trees).withColumn("value", _number_of(F.col("_v"))).filter("value is not null").drop("_v")
+    return deep.join(leaves, "_key").select(*keep, "_lines", "_line", "_path", "_pos", "value")
+
+
+def _json_parts(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """keep, _v, _raw, _lines, _line: a document as one value, or else each of its lines that is one."""
     whole = docs.withColumn("_v", _one_json(F.col(text)))
     one = whole.filter(F.col("_v").isNotNull()).select(*keep, "_v", F.col(text).alias("_raw"), split_lines(F.col(text)).alias("_lines"), F.lit(None).cast("int").alias("_line"))
     many = whole.filter(F.col("_v").isNull() & F.col(text).isNotNull()).select(*keep, F.posexplode(split_lines(F.col(text))).alias("_at", "_body"))
     many = many.select(*keep, _one_json(F.col("_body")).alias("_v"), F.col("_body").alias("_raw"), F.array("_body").alias("_lines"), (F.col("_at") + 1).alias("_line")).filter("_v is not null")
-    values = one.unionByName(many)
-    shallow = F.length("_raw") - F.length(F.translate("_raw", "[{", "")) <= depth
+    return one.unionByName(many)
+
+
+def json_values(docs: DataFrame, text: str = "text", depth: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """Numbers of JSON documents by path (a.b[0].c), booleans and strings left out, lists cut at 1000 items.
+
+    A text that is no JSON document is read as JSON lines: bad lines are skipped and the line is the physical one; in a
+    document it is the first line that holds the leaf's quoted key. Values nested up to ``depth`` are flattened level by
+    level by built-in generators, without a shuffle; deeper ones by a recursive query over their nodes, to any nesting that
+    the parser takes (1000; what it refuses: ``json_refused``). A number beyond the doubles is an infinity.
+    """
+    keep = keep if keep is not None else [c for c in docs.columns if c != text]
+    values = _json_parts(docs, text, keep)
+    brackets = F.length("_raw") - F.length(F.translate("_raw", "[{", ""))
+    shallow = (brackets <= depth) | (nesting(F.col("_raw")) <= depth)
     level = values.filter(shallow).select(*keep, "_lines", "_line", F.lit("").alias("_path"), "_v", F.array().cast("array<int>").alias("_pos"))
     children = docs.sparkSession.tvf.variant_explode_outer(F.col("_v").outer())
     for _ in range(depth):
@@ -153,10 +170,8 @@ def json_values(docs: DataFrame, text: str = "text", depth: int = 12, keep: list
         done = F.col("_at").isNull()
         path, v = F.when(done, F.col("_path")).otherwise(F.concat("_path", step)), F.when(done, F.col("_v")).otherwise(F.col("_child"))
         level = open_.select(*keep, "_lines", "_line", path.alias("_path"), v.alias("_v"), F.when(done, F.col("_pos")).otherwise(F.concat("_pos", F.array("_at"))).alias("_pos"))
-    numeric = F.schema_of_variant("_v").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    leaves = level.filter(numeric).withColumn("value", F.try_variant_get("_v", "$", "double")).drop("_v")
-    deep = values.filter(~shallow).select(*keep, "_lines", "_line", "_raw").lateralJoin(_DeepLeaves(F.col("_raw").outer()).toDF("_path", "value", "_pos")).drop("_raw")
-    leaves = leaves.unionByName(deep)
+    leaves = level.withColumn("value", _number_of(F.col("_v"))).filter("value is not null").drop("_v")
+    leaves = leaves.unionByName(_deep_leaves(values.filter(~shallow), keep))
     leaf_key = F.element_at(F.split(F.regexp_replace("_path", r"\[\d+\]$", ""), r"\."), -1)
     quoted = F.concat(F.lit('"'), leaf_key, F.lit('"'))
     first = F.array_position(F.transform("_lines", lambda x: F.contains(x, quoted)), F.lit(True))
@@ -166,6 +181,21 @@ def json_values(docs: DataFrame, text: str = "text", depth: int = 12, keep: list
     return leaves.select(*keep, *_structured(F.col("_path"), F.col("value")), F.lit(False).alias("percent"), line.alias("line"), F.substring(strip(body), 1, MAX_TEXT).alias("text"), F.struct(F.coalesce("_line", F.lit(0)).alias("line"), F.col("_pos").alias("pos")).alias("ord"))
 
 
+def json_refused(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """keep, lines_read, lines_skipped, reason: the texts that are no JSON value as a whole, and why lines of them are left out.
+
+    Blank lines do not count. The parser takes a nesting and numbers of up to 1000; it refuses an object with a key twice.
+    """
+    keep = keep if keep is not None else [c for c in docs.columns if c != text]
+    rest = docs.filter(F.col(text).isNotNull() & _one_json(F.col(text)).isNull())
+    full = F.filter(split_lines(F.col(text)), lambda x: strip(x) != "")
+    taken = F.size(F.filter(full, lambda x: _one_json(x).isNotNull()))
+    reason = F.when(nesting(F.col(text)) > MAX_NESTING, f"nested over {MAX_NESTING} deep").when(F.col(text).rlike(rf"[0-9]{{{MAX_DIGITS + 1}}}"), f"a number of over {MAX_DIGITS} digits")
+    reason = reason.when(F.col(text).rlike(r"^\s*[\[{]") & (F.col("lines_read") == 0), "no valid JSON document").otherwise("lines that are no JSON")
+    out = rest.select(*keep, text, taken.alias("lines_read"), (F.size(full) - taken).alias("lines_skipped"))
+    return out.filter("lines_skipped > 0").select(*keep, "lines_read", "lines_skipped", reason.alias("reason"))
+
+
 def csv_values(docs: DataFrame, text: str = "text", separator: str = ",", keep: list[str] | None = None) -> DataFrame:
     """Every numeric cell of the first 1000 records below a header, as (column, value); the record's first cell is its label.
 

@@ -150,6 +150,39 @@ def csv_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(extract.csv_values(c.select("c_custkey", text.alias("text"))).select("c_custkey", "name", "value", "percent", "row", "line"), "line")
 
 
+@query("""
+SELECT event_id, concat('[', i, '].', k) AS raw_name, CASE WHEN i = 13 THEN 'infinity'::DOUBLE ELSE user_id + i END AS value
+FROM events, range(14) t(i), LATERAL (SELECT CASE WHEN i = 13 THEN 'huge' ELSE 'n' END AS k)
+""")
+def json_flat_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small objects side by side, nested two deep, and an integer of 400 digits."""
+    e = table(spark, sf_dir, "events")
+    objects = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.concat(F.lit('{"n": '), F.col("user_id") + i, F.lit(', "s": "[[[[{{"}'))), ",")
+    text = F.concat(F.lit("["), objects, F.lit(',{"huge": ' + "9" * 400 + "}]"))
+    return extract.json_values(e.select("event_id", text.alias("text"))).select("event_id", "raw_name", "value")
+
+
+@query("""
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, concat('a', repeat('[0].a', 249), '[0]') AS raw_name, CAST(n_regionkey AS DOUBLE) AS value FROM nation
+""")
+def json_500_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    text = F.concat(F.lit('{"a": [' * 250), "n_regionkey", F.lit("]}" * 250))
+    return _long(extract.json_values(n.select("n_nationkey", text.alias("text"))).select("n_nationkey", "raw_name", "value"), "n_nationkey")
+
+
+@query("""
+SELECT event_id, CAST(event_id % 4 = 3 AS BIGINT) AS lines_read, CAST(1 AS BIGINT) AS lines_skipped,
+  ['nested over 1000 deep', 'a number of over 1000 digits', 'no valid JSON document', 'lines that are no JSON'][event_id % 4 + 1] AS reason
+FROM events WHERE event_type <> 'click'
+""")
+def json_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    bad = F.when(F.col("event_id") % 4 == 0, "[" * 1001 + "]" * 1001).when(F.col("event_id") % 4 == 1, f"[{'9' * 1001}]").when(F.col("event_id") % 4 == 2, '{"a": 1, "a": 2}').otherwise('{"a": 1}\nstep')
+    text = F.when(F.col("event_type") == "click", F.col("props")).otherwise(bad)
+    return _long(extract.json_refused(e.select("event_id", text.alias("text"))), "lines_read", "lines_skipped")
+
+
 _NAMES = {
     "Test  Accuracy:": ("test_accuracy", "accuracy"), "acc_val": ("val_accuracy", "accuracy"), "Top-1 accuracy": ("top1_accuracy", "accuracy"),
     "F1-score": ("f1_score", "f1_score"), "best validation loss": ("best_val_loss", "loss"), "AUROC": ("roc_auc", "roc_auc"), "avg. ppl": ("avg._perplexity", "avg._perplexity"),

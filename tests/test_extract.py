@@ -129,17 +129,46 @@ def test_wanted_caps_and_says_so(spark):
 
 
 def test_deep_json_and_wide_lists(spark):
-    deep = "[" * 900 + '{"x": 7}' + "]" * 900
+    deep = "[" * 150 + '{"x": 7, "s": "\\"]]]"}' + "]" * 150
     wide = '{"loss": [' + ", ".join(str(k) for k in range(1200)) + '], "b": {"z": 1, "a": true}}'
     df = spark.createDataFrame([("deep", deep), ("wide", wide), ("lines", wide + "\nno json\n" + '{"acc": 3}'), ("none", None), ("empty", "")], "source string, text string")
     rows = {}
     for r in extract.json_values(df).orderBy("source", "ord").collect():
         rows.setdefault(r["source"], []).append((r["raw_name"], r["value"], r["line"]))
-    assert rows["deep"] == [("[0]" * 900 + ".x", 7.0, 1)]
+    assert rows["deep"] == [("[0]" * 150 + ".x", 7.0, 1)]
     assert rows["wide"] == [("b.z", 1.0, 1)] + [(f"loss[{k}]", float(k), 1) for k in range(1000)]
     assert rows["lines"] == rows["wide"] + [("acc", 3.0, 3)] and set(rows) == {"deep", "wide", "lines"}
 
 
+def test_json_is_flattened_without_python(spark):
+    flat = "[" + ", ".join('{"n": %d}' % k for k in range(14)) + ", " + "9" * 400 + ", 1e400, -0.1, 12345678901234567890123456789012345678901]"
+    twice = '{"a": {"b": {"c": {"d": {"e": [1]}}}}}'
+    df = spark.createDataFrame([("flat", flat), ("deep", twice), ("deep", twice), (None, twice)], "source string, text string")
+    out = extract.json_values(df)
+    rows = {}
+    for r in out.collect():
+        rows.setdefault(r["source"], []).append((r["raw_name"], r["value"]))
+    assert rows["deep"] == [("a.b.c.d.e[0]", 1.0)] * 2 and rows[None] == rows["deep"][:1]  # repeated rows and null keys stay
+    assert sorted(rows["flat"]) == sorted([(f"[{k}].n", float(k)) for k in range(14)] + [("[14]", float("inf")), ("[15]", float("inf")), ("[16]", -0.1), ("[17]", 12345678901234567890123456789012345678901.0)])
+    assert not any(x in out._jdf.queryExecution().optimizedPlan().toString() for x in ("Python", "Arrow"))
+
+
+def test_nesting_counts_open_brackets_outside_of_strings(spark):
+    cases = {"": 0, "1": 0, "[]": 1, "[[],[]]": 2, '{"a[[": [{"b": "]]\\"[[["}]}': 3, '["\\\\", [[]]]': 3, "[{}, {}, {}, {}]": 2}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r[0]: r[1] for r in df.select("t", extract.nesting(F.col("t"))).collect()} == cases
+
+
+def test_json_that_the_parser_refuses_has_a_reason(spark):
+    texts = {"deep": "[" * 1001 + "]" * 1001, "digits": "[" + "1" * 1001 + "]", "twice": '{"a": 1, "a": 2}', "lines": '{"a": 1}\n\nstep 2\n[2]', "prose": "no json", "fine": "[1]", "all lines": "1\n[2]\n", "empty": "", "none": None}
+    df = spark.createDataFrame(list(texts.items()), "source string, text string")
+    got = {r["source"]: (r["lines_read"], r["lines_skipped"], r["reason"]) for r in extract.json_refused(df).collect()}
+    assert got == {
+        "deep": (0, 1, "nested over 1000 deep"), "digits": (0, 1, "a number of over 1000 digits"), "twice": (0, 1, "no valid JSON document"),
+        "lines": (2, 1, "lines that are no JSON"), "prose": (0, 1, "lines that are no JSON"),
+    }
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([("a", "h,x\n\n1,2,3\n\"q\n,r\",4.5%\n"), ("b", None), ("c", ""), ("d", "only,head")], "source string, text string")
     rows = [(r["source"], r["name"], r["row"], r["value"], r["percent"], r["line"]) for r in extract.csv_values(df).orderBy("source", "ord").collect()]
