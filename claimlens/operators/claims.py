@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import is_result_metric, normalize_metric, number
+from ..functions.numbering import numbered
 from ..functions.patterns import CELL_NUMBER, METRIC_WORD, PM_CLAIM, RANGE_CLAIM, TABLE_RULE
 from ..functions.text import matches, strip
 from .extract import lines, vocabulary_matches
@@ -156,14 +157,13 @@ def dedup(claims: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
 
 
 def number_claims(claims: DataFrame, key: str, prefix: str, order: str = "ord", known: DataFrame | None = None) -> DataFrame:
-    """Ids prefix1, prefix2, … by key. ``known`` (key, label, first, last) keeps the numbers of labels seen before."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    """Ids prefix1, prefix2, … by key, of any number. ``known`` (key, label, first, last) keeps the numbers of labels seen before."""
     if known is None:
-        return claims.withColumn("id", F.concat(F.lit(prefix), n.cast("string")))
-    n = F.row_number().over(Window.partitionBy(key, "label").orderBy(order))
+        return numbered(claims, [key], [order], "id").withColumn("id", F.concat(F.lit(prefix), F.col("id").cast("string")))
     top = known.groupBy(key).agg(F.max("last").alias("_top"))
-    rows = claims.join(known.select(key, "label", "first"), [key, "label"], "left").join(top, key, "left")
-    return rows.withColumn("id", F.concat(F.lit(prefix), (n + F.coalesce(F.col("first") - 1, "_top", F.lit(0))).cast("string"))).drop("first", "_top")
+    rows = numbered(claims, [key, "label"], [order], "id").join(known.select(key, "label", "first"), [key, "label"], "left").join(top, key, "left")
+    n = F.col("id") + F.coalesce(F.col("first") - 1, "_top", F.lit(0))
+    return rows.withColumn("id", F.concat(F.lit(prefix), n.cast("string"))).drop("first", "_top")
 
 
 def lookup(claims: DataFrame, wanted: DataFrame, on: list[str], order: str = "ord") -> DataFrame:

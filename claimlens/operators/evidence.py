@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -61,15 +62,64 @@ def build(rows: DataFrame, study: str, order: str, content: str) -> DataFrame:
     return rows.groupBy(study).applyInPandas(run, f"{schema}, seq long, prev string, hash string")
 
 
-def verify(log: DataFrame, study: str, recomputed: Column, seq: str = "seq") -> DataFrame:
+def _object(payload: str) -> dict:
+    out = json.loads(payload) if payload else None
+    if not isinstance(out, dict):
+        raise ValueError(f"a payload is no JSON object: {payload!r:.80}")
+    return out
+
+
+def chain(rows: DataFrame, heads: DataFrame, ts: str) -> DataFrame:
+    """study, seq, ts, kind, prev, hash and raw of rows (study, kind, payload, ord), behind heads (study, head_seq, head_hash).
+
+    The hash is that of the entry's canonical JSON, which holds seq and prev. A task folds its studies one after the other as
+    their rows stream in by ord, and holds no more than the hash before.
+    """
+    names = ["study", "seq", "ts", "kind", "prev", "hash", "raw"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        study, seq, prev = None, 0, GENESIS
+        for batch in batches:
+            out = []
+            for own, kind, payload, head_seq, head_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own is None:
+                    raise ValueError("an entry needs a study")
+                if own != study:
+                    study, seq, prev = own, head_seq or 0, head_hash or GENESIS
+                seq += 1
+                entry = {**_object(payload), "seq": seq, "ts": ts, "kind": kind, "prev": prev}
+                entry["hash"] = digest = entry_hash(entry)
+                out.append((study, seq, ts, kind, prev, digest, json.dumps(entry, sort_keys=True, ensure_ascii=False)))
+                prev = digest
+            kinds = [pa.string(), pa.int64(), *[pa.string()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+    joined = rows.select(F.col("study").cast("string").alias("study"), "kind", "payload", "ord").join(heads, "study", "left")
+    sorted_ = joined.repartition("study").sortWithinPartitions("study", "ord").select("study", "kind", "payload", "head_seq", "head_hash")
+    return sorted_.mapInArrow(run, "study string, seq long, ts string, kind string, prev string, hash string, raw string")
+
+
+#: Entries of a study that one window holds.
+SEGMENT = 1 << 16
+
+
+def verify(log: DataFrame, study: str, recomputed: Column, seq: str = "seq", segment: int = SEGMENT) -> DataFrame:
     """Problems of each entry: chain (prev is not the stored hash before it) and content (its own hash is wrong).
 
-    Both tests need only the entry and its predecessor's stored hash, so no fold is needed.
+    Both tests need only the entry and its predecessor's stored hash, so no fold is needed. Entries are taken in segments of
+    ``segment`` numbers, so no task holds a whole study: a segment's first entry is compared with the last one of the segment
+    before, and only these last entries, one a segment, are in order over the study. Entries without a number come first.
     """
-    before = F.coalesce(F.lag("hash").over(Window.partitionBy(study).orderBy(seq)), F.lit(GENESIS))
-    out = log.withColumn("_before", before).withColumn("_again", recomputed)
+    place = F.struct(seq, "hash")
+    log = log.withColumn("_key", F.coalesce(F.col(study).cast("string"), F.lit("\0"))).withColumn("_segment", F.coalesce(F.floor(F.col(seq) / segment), F.lit(-1)))
+    ends = log.groupBy("_key", "_segment").agg(F.max_by("hash", place).alias("_last"))
+    ends = ends.select("_key", "_segment", F.lag("_last").over(Window.partitionBy("_key").orderBy("_segment")).alias("_outside"))
+    inside = Window.partitionBy("_key", "_segment").orderBy(seq, "hash")
+    out = log.withColumn("_inside", F.lag("hash").over(inside)).withColumn("_first", F.row_number().over(inside) == 1).join(ends, ["_key", "_segment"])
+    before = F.coalesce(F.when(F.col("_first"), F.col("_outside")).otherwise(F.col("_inside")), F.lit(GENESIS))
+    out = out.withColumn("_before", before).withColumn("_again", recomputed)
     problems = F.array_compact(F.array(F.when(~F.col("prev").eqNullSafe(F.col("_before")), "chain broken"), F.when(~F.col("hash").eqNullSafe(F.col("_again")), "content hash mismatch")))
-    return out.withColumn("problems", problems).drop("_before", "_again")
+    return out.withColumn("problems", problems).drop("_key", "_segment", "_inside", "_first", "_outside", "_before", "_again")
 
 
 def verify_files(stated: DataFrame, found: DataFrame) -> DataFrame:
@@ -99,8 +149,3 @@ def next_id(log: DataFrame, keys: list[str], prefix: str, kind: str) -> DataFram
     """prefix and one more than the entries of a kind so far."""
     n = F.count(F.when(F.col("kind") == kind, 1))
     return log.groupBy(*keys).agg(F.concat(F.lit(prefix), (n + 1).cast("string")).alias("next_id"))
-
-
-def append(log: DataFrame, path: str) -> None:
-    """Add chained entries to the log table."""
-    log.write.mode("append").parquet(path)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..operators import evidence, report
+from ..sources.chainlog import ChainLog
+from ..sources.shared import fresh
 from .registry import query, table
 
 
@@ -29,6 +32,42 @@ def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.verify(log, "user_id", again).select("event_id", "user_id", "seq", "problems")
 
 
+@query("""
+WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS seq, sha256(concat(event_id, '|', event_type)) AS h FROM events)
+SELECT event_id, seq, list_filter([
+  CASE WHEN event_id % 17 = 0 AND seq > 1 THEN 'chain broken' END,
+  CASE WHEN event_id % 13 = 0 THEN 'content hash mismatch' END], lambda x: x IS NOT NULL) AS problems
+FROM e
+""")
+def chain_verify_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one study, with every 17th link and every 13th content tampered with."""
+    e = table(spark, sf_dir, "events").select("event_id", F.sha2(F.concat_ws("|", "event_id", "event_type"), 256).alias("hash"))
+    e = numbered(e, [], ["event_id"], "seq").withColumn("seq", F.col("seq").cast("long"))
+    before = e.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("prev"))
+    linked = e.join(before, "seq", "left").withColumn("prev", F.when((F.col("event_id") % 17 == 0) & (F.col("seq") > 1), "x").otherwise(F.coalesce("prev", F.lit(evidence.GENESIS))))
+    again = F.when(F.col("event_id") % 13 == 0, F.sha2(F.lit("tampered"), 256)).otherwise(F.col("hash"))
+    return evidence.verify(linked.withColumn("study", F.lit("all")), "study", again, segment=4096).select("event_id", "seq", "problems")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT CAST(o_custkey AS VARCHAR) AS study, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3, o_orderkey) AS seq FROM orders),
+c AS (
+  SELECT study, CAST(0 AS BIGINT) AS seq, '' AS prev, repeat('0', 64) AS hash FROM e GROUP BY study
+  UNION ALL SELECT e.study, e.seq, c.hash, sha256(concat('{"key": ', o_orderkey, ', "kind": "order", "prev": "', c.hash, '", "seq": ', e.seq, ', "status": "é', o_orderstatus, '", "ts": "2025-01-01T00:00:00Z"}'))
+  FROM c JOIN e ON e.study = c.study AND e.seq = c.seq + 1)
+SELECT study, seq, prev, hash FROM c WHERE seq > 0
+""")
+def chain_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three appends to a log of one study a customer, the last of them tried twice."""
+    o = table(spark, sf_dir, "orders")
+    payload = F.concat(F.lit('{"status": "é'), "o_orderstatus", F.lit('", "key": '), "o_orderkey", F.lit(', "seq": -1}'))
+    rows = o.select(F.col("o_custkey").alias("study"), F.lit("order").alias("kind"), payload.alias("payload"), F.col("o_orderkey").alias("ord"))
+    log = ChainLog(spark, fresh(spark, "log"))
+    for k in (0, 1, 2, 2):
+        log.append(rows.filter(F.col("ord") % 3 == k), token=f"batch-{k}", ts="2025-01-01T00:00:00Z")
+    return log.entries().select("study", "seq", "prev", "hash")
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT CAST(o_custkey AS BIGINT) AS study, CAST(o_orderkey AS VARCHAR) AS content, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders),
 c AS (SELECT study, content, seq, repeat('0', 64) AS prev, sha256(concat(repeat('0', 64), '|', content)) AS hash FROM e WHERE seq = 1
