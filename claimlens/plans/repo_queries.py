@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import inventory, links, recipes
-from ..sources import files
+from ..sources import files, tree
+from ..sources.shared import fresh
 from .registry import query, table
 
 
@@ -118,6 +119,24 @@ def language_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.language_bytes(rows).select(back[F.col("language")].alias("lang"), F.col("bytes").cast("long").alias("bytes"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("""
+SELECT concat('p_brand=', p_brand, '/k=', p_size % 3) AS folder, rank() OVER (ORDER BY p_brand, p_size % 3) AS n,
+  CAST(sum(length(p_name) + 1) AS BIGINT) AS size, sha256(string_agg(concat(p_name, chr(10)), '' ORDER BY p_partkey)) AS sha256
+FROM part GROUP BY p_brand, p_size % 3
+""")
+def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names written to folders of two levels, one file each: walked in order and hashed in chunks."""
+    root = fresh(spark, "tree")
+    part = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") % 3).alias("k"), "p_partkey", "p_name")
+    sorted_ = part.repartition("p_brand", "k").sortWithinPartitions("p_brand", "k", "p_partkey")
+    sorted_.select("p_brand", "k", "p_name").write.partitionBy("p_brand", "k").text(root)
+    found = tree.walk(spark, root).filter("path like '%.txt'")
+    n = F.row_number().over(Window.orderBy("ord")).cast("long")  # a walk is bounded
+    out = tree.with_hashes(found.select("path", "size", n.alias("n")), root)
+    folder = F.replace(F.regexp_replace("path", "/[^/]*$", ""), F.lit("%23"), F.lit("#"))
+    return out.select(folder.alias("folder"), "n", "size", "sha256")
+
+
 @query("""
 SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_size < 10 THEN 'created' WHEN p_size > 45 THEN 'deleted' ELSE 'modified' END AS change
 FROM part WHERE p_size < 10 OR p_size > 45 OR p_size % 4 = 0
@@ -306,7 +325,6 @@ def key_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5
 """)
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
 
     d = table(spark, sf_dir, "documents")
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
