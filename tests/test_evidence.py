@@ -61,16 +61,41 @@ def test_reports(spark):
         report.add_notes(notes.withColumn("note_kind", F.lit("odd"))).collect()
 
 
-def test_streaming_chain(spark, tmp_path):
+def arrive(spark, src, lines):
+    spark.createDataFrame(lines, "study string, value string").coalesce(1).write.mode("append").json(src)
+
+
+def streamed(spark, out):
+    return {(r["study"], r["seq"]): r["problems"] for r in spark.read.parquet(out).collect()}
+
+
+def test_shuffled_stream_gives_the_result_of_a_batch(spark, tmp_path):
+    import random
+
+    src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    entries = chain(24)
+    entries[7]["text"] = "edited"  # its content
+    entries[15]["prev"] = "0"  # its link, and so its content
+    lines = [(study, json.dumps(e, ensure_ascii=False)) for study in ("s", "t") for e in entries]
+    random.Random(3).shuffle(lines)
+    df = spark.createDataFrame(lines, "study string, value string")
+    log = evidence.scan(df, ["study"])
+    want = {(r["study"], r["seq"]): r["problems"] for r in evidence.verify(log, "study", evidence.canonical_hash(F.col("raw"))).collect()}
+    for at in range(0, len(lines), 16):
+        arrive(spark, src, lines[at : at + 16])
+        watch.run_available(spark, src, out, mark)
+    assert streamed(spark, out) == want
+    assert want["s", 8] == ["content hash mismatch"] and want["t", 16] == ["chain broken", "content hash mismatch"]
+
+
+def test_a_gap_is_given_up_after_a_while(spark, tmp_path):
     src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    lines = [json.dumps(e, ensure_ascii=False) for e in chain(5)]
-    bad = json.loads(lines[4])
-    bad["prev"] = "0"
-    lines[4] = json.dumps(bad, ensure_ascii=False)
-    df = spark.createDataFrame([("s", x) for x in lines[:2]], "study string, value string")
-    df.coalesce(1).write.mode("append").json(src)
-    watch.run_available(spark, src, out, mark)
-    spark.createDataFrame([("s", x) for x in lines[2:]], "study string, value string").coalesce(1).write.mode("append").json(src)
-    watch.run_available(spark, src, out, mark)
-    got = {r["seq"]: r["problem"] for r in spark.read.parquet(out).collect()}
-    assert got == {1: None, 2: None, 3: None, 4: None, 5: "chain broken"}
+    lines = [("s", json.dumps(e, ensure_ascii=False)) for e in chain(6)]
+    arrive(spark, src, [lines[0], lines[2], lines[3], lines[5]])
+    watch.run_available(spark, src, out, mark, patience_ms=1)
+    arrive(spark, src, [("other", lines[0][1])])
+    watch.run_available(spark, src, out, mark, patience_ms=1)
+    arrive(spark, src, [("third", lines[0][1]), lines[1]])
+    watch.run_available(spark, src, out, mark, patience_ms=1)
+    got = streamed(spark, out)
+    assert {k[1]: v for k, v in got.items() if k[0] == "s"} == {1: [], 2: ["chain broken"], 3: ["chain broken"], 4: [], 6: ["chain broken"]}
