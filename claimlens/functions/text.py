@@ -37,15 +37,22 @@ def matches(c: Column, pattern: str, groups: list[str]) -> Column:
     """All matches, left to right: array of structs start, end (characters), raw and one field for each group.
 
     A group that took no part in the match is an empty string. One pass of the pattern marks each match and its groups by
-    control characters; places are sums over the lengths of what lies before.
+    control characters.
     """
     template = "\x01$0" + "".join(f"\x02${k + 1}" for k in range(len(groups))) + "\x01"
-    marked = F.regexp_replace(F.translate(c, "\x01\x02", "\x03\x03"), pattern, template)
+    return marked_places(F.regexp_replace(F.translate(c, "\x01\x02", "\x03\x03"), pattern, template), groups)
+
+
+def marked_places(marked: Column, groups: list[str]) -> Column:
+    """The stretches of a text between two \\x01, each followed by its groups behind \\x02 (which count as no text): start, end, raw, groups.
+
+    Places are sums over the lengths of what lies before.
+    """
 
     def build(parts: Column) -> Column:
         # every second part is a match, up to its first control character; one fold gives all starts
         def step(s: Column, x: Column) -> Column:
-            width = F.when(s["hit"], F.instr(x, "\x02") - 1).otherwise(F.length(x))
+            width = F.when(s["hit"], F.instr(x, "\x02") - 1).otherwise(F.length(x)) if groups else F.length(x)
             return F.struct((s["at"] + width).alias("at"), (~s["hit"]).alias("hit"), F.when(s["hit"], F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"))
 
         begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast("array<int>").alias("starts"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_result_metric, normalize_metric, number
 from ..functions.numbering import numbered
-from ..functions.patterns import CELL_NUMBER, METRIC_WORD, PM_CLAIM, RANGE_CLAIM, TABLE_RULE
-from ..functions.text import matches, strip
+from ..functions.patterns import MAX_BEFORE_PM, MAX_BEFORE_RANGE, METRIC_WORD
+from ..functions.readings import is_rule, lone_number, ranges, spreads
+from ..functions.text import strip
 from .extract import lines, vocabulary_matches
 
 CLAIM_FIELDS = (
@@ -41,7 +42,7 @@ def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("line")
     ls = ls.withColumn("fence", strip(F.col("body")).startswith("```")).withColumn("pipe", F.contains("body", F.lit("|")))
     ls = ls.withColumn("fenced", F.sum(F.col("fence").cast("int")).over(w) % 2 == 1)
-    follows = F.lead(F.col("body").rlike(TABLE_RULE) & F.col("pipe")).over(w)
+    follows = F.lead(is_rule(split_row(F.col("body"))) & F.col("pipe")).over(w)
     ls = ls.withColumn("head", F.col("pipe") & ~F.col("fence") & ~F.col("fenced") & F.coalesce(follows, F.lit(False)))
     breaks = ~(F.col("pipe") & (strip(F.col("body")) != ""))
     ls = ls.withColumn("island", F.sum(breaks.cast("int")).over(w))
@@ -71,15 +72,15 @@ def markdown_claims(docs: DataFrame, key: str = "source", text: str = "text") ->
     body = body.withColumn("label", clean(F.element_at("cells", 1)))
     cells = body.select("*", F.posexplode(F.slice(F.arrays_zip("head", "cells"), F.lit(1), F.least(F.size("head"), F.size("cells")))).alias("col", "c"))
     bare = strip(F.replace(F.regexp_replace("c.cells", "<[^>]+>", ""), F.lit("&plusmn;"), F.lit("±")))
-    pick = lambda k: F.nullif(F.regexp_extract(bare, CELL_NUMBER, k), F.lit(""))
+    cells = cells.withColumn("number", lone_number(bare))
     in_head, in_row = F.col("c.head").rlike(METRIC_WORD), F.col("label").rlike(METRIC_WORD)
     near = F.coalesce(F.col("context"), F.lit("")).rlike(METRIC_WORD) | F.array_join("head", " ").rlike(METRIC_WORD)
-    found = cells.filter(bare.rlike(CELL_NUMBER) & (in_head | in_row | near))
+    found = cells.filter(F.col("number").isNotNull() & (in_head | in_row | near))
     raw = F.when(in_head, F.col("c.head")).when(in_row, F.col("label")).otherwise(F.col("c.head"))
     table = found.select(
-        normalize_metric(raw).alias("metric"), raw.alias("raw_metric"), number(pick(1)).alias("value"), pick(1).alias("value_text"),
+        normalize_metric(raw).alias("metric"), raw.alias("raw_metric"), number(F.col("number.value")).alias("value"), F.col("number.value").alias("value_text"),
         none("double").alias("lo"), none("double").alias("hi"), none().alias("lo_text"), none().alias("hi_text"),
-        number(pick(3)).alias("plus_minus"), pick(2).isNotNull().alias("percent"), F.col(key).alias("source"), "line",
+        number(F.col("number.pm")).alias("plus_minus"), F.col("number.pct").isNotNull().alias("percent"), F.col(key).alias("source"), "line",
         F.substring(strip(F.col("body")), 1, 400).alias("text"), F.lit("table").alias("kind"), F.array_join("head", " | ").alias("table_header"),
         F.col("label").alias("row"), F.col("c.head").alias("column"), F.when(in_head | in_row, "high").otherwise("low").alias("confidence"),
         F.struct("line", F.lit(0).alias("rank"), F.col("col").alias("start")).alias("ord"),
@@ -92,8 +93,8 @@ def sentence_claims(rows: DataFrame, key: str = "source") -> DataFrame:
     """Ranges, plus-minus values and plain values on lines (key, line, body, fenced)."""
     line = F.col("body")
     free = lambda xs, spans: F.filter(xs, lambda x: ~F.exists(spans, lambda y: (y["start"] <= x["start"]) & (x["start"] < y["end"])))
-    rows = rows.withColumn("_r", matches(line, RANGE_CLAIM, ["name", "lo", "hi", "pct"]))
-    rows = rows.withColumn("_p", free(matches(line, PM_CLAIM, ["name", "value", "pct", "pm"]), F.col("_r")))
+    rows = rows.withColumn("_r", ranges(line, MAX_BEFORE_RANGE))
+    rows = rows.withColumn("_p", free(spreads(line, MAX_BEFORE_PM), F.col("_r")))
     spans = F.concat(*[F.transform(c, lambda x: F.struct(x["start"], x["end"])) for c in ("_r", "_p")])
     rows = rows.withColumn("_spans", spans)
     flag = lambda x: F.col("fenced") & F.regexp_like(line, F.concat(F.lit(r"--[\w-]*\Q"), x["name"], F.lit(r"\E")))
@@ -109,7 +110,7 @@ def sentence_claims(rows: DataFrame, key: str = "source") -> DataFrame:
         F.transform("_p", lambda x: hit(2, x, x["value"], empty, empty, x["pm"])),
         F.transform("_v", lambda x: hit(3, x, x["value"], empty, empty, empty)),
     )
-    h = rows.select(key, "line", "body", "fenced", F.explode(hits).alias("h"))
+    h = rows.select(key, "line", "body", "fenced", F.explode_outer(hits).alias("h")).filter("h is not null")
     none = F.lit(None).cast("string")
     return h.select(
         normalize_metric(F.col("h.name")).alias("metric"), F.col("h.name").alias("raw_metric"), number(F.col("h.value")).alias("value"),

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_metric, number
-from ..functions.patterns import EXCEPTION_LINE, KEY_TAB, KEY_VALUE, METRIC_VALUE, NUMBER
-from ..functions.text import matches, overlaps, split_lines, strip
+from ..functions.patterns import NUMBER
+from ..functions.readings import equations, is_exception, metric_values, tabbed
+from ..functions.text import overlaps, split_lines, strip
 
 MAX_LINE = 2000
 MAX_TEXT = 300
@@ -35,10 +36,6 @@ def lines(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     return docs.select(*keep, F.posexplode(split_lines(F.col(text))).alias("at", "body")).withColumn("line", F.col("at") + 1).drop("at")
 
 
-def is_exception(line: Column) -> Column:
-    return line.rlike(EXCEPTION_LINE)
-
-
 def _guard(rest: Column) -> Column:
     """What stands behind a number lets it be a value: no letter but an e, no dot with a digit."""
     bad_letter = rest.rlike(r"(?U)^[\p{IsAlphabetic}]") & ~F.lower(rest).startswith("e")
@@ -46,9 +43,8 @@ def _guard(rest: Column) -> Column:
 
 
 def vocabulary_matches(line: Column) -> Column:
-    """Accepted matches of the vocabulary pattern: start, end, raw, name, value, rest, den, den_rest, pct."""
-    found = matches(line, METRIC_VALUE, ["name", "value", "rest", "den", "den_rest", "pct"])
-    return F.filter(found, lambda x: _guard(F.when(x["den"] != "", x["den_rest"]).otherwise(x["rest"])))
+    """Named values that are whole: start, end, raw, name, value, rest, den, den_rest, pct."""
+    return F.filter(metric_values(line), lambda x: _guard(F.when(x["den"] != "", x["den_rest"]).otherwise(x["rest"])))
 
 
 def text_values(rows: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
@@ -57,11 +53,10 @@ def text_values(rows: DataFrame, body: str = "body", keep: list[str] | None = No
     Vocabulary matches come first, then key=value and key<TAB>value where no accepted match lies.
     """
     keep = keep if keep is not None else [c for c in rows.columns if c not in (body, "line")]
-    # every pattern needs a digit: the cheap test comes first
+    # every value needs a digit: the cheap test comes first
     rows = rows.filter(F.col(body).rlike("[0-9]")).withColumn("_l", F.substring(F.col(body), 1, MAX_LINE)).filter(~is_exception(F.col("_l")))
     line = F.col("_l")
     nothing = F.lit("")
-    none = lambda names: F.array().cast("array<struct<start:int,end:int,raw:string," + ",".join(f"{n}:string" for n in names) + ">>")
     vocabulary = F.filter(vocabulary_matches(line), lambda x: (x["den"] == "") | ~x["den"].rlike("^0+$"))
 
     def as_hit(x: Column, rank: int, den: Column, pct: Column) -> Column:
@@ -74,14 +69,16 @@ def text_values(rows: DataFrame, body: str = "body", keep: list[str] | None = No
         }
         return F.struct(*[v.alias(k) for k, v in fields.items()])
 
-    # a line without the pattern's own sign need not be searched
-    free = lambda pattern, sign: F.when(F.contains(line, F.lit(sign)), F.filter(matches(line, pattern, ["name", "value"]), lambda x: ~overlaps(x, F.col("_m")))).otherwise(none(["name", "value"]))
+    # a line without a reading's own sign need not be read
+    none = F.array().cast("array<struct<start:int,end:int,raw:string,name:string,value:string>>")
+    free = lambda found, sign: F.when(F.contains(line, F.lit(sign)), F.filter(found, lambda x: ~overlaps(x, F.col("_m")))).otherwise(none)
     hits = F.concat(
         F.transform("_m", lambda x: as_hit(x, 0, x["den"], x["pct"])),
-        F.transform(free(KEY_VALUE, "="), lambda x: as_hit(x, 1, nothing, nothing)),
-        F.transform(free(KEY_TAB, "\t"), lambda x: as_hit(x, 2, nothing, nothing)),
+        F.transform(free(equations(line), "="), lambda x: as_hit(x, 1, nothing, nothing)),
+        F.transform(free(tabbed(line), "\t"), lambda x: as_hit(x, 2, nothing, nothing)),
     )
-    out = rows.withColumn("_m", vocabulary).select(*keep, "line", F.substring(strip(F.col(body)), 1, MAX_TEXT).alias("text"), F.explode(hits).alias("h"))
+    # outer: for an inner generator the optimiser infers a filter that works all hits out once more; empty hits go below
+    out = rows.withColumn("_m", vocabulary).select(*keep, "line", F.substring(strip(F.col(body)), 1, MAX_TEXT).alias("text"), F.explode_outer(hits).alias("h"))
     fields = ["h.name", "h.raw_name", "h.value", "h.raw", "h.percent", "line", "text", "h.fraction"]
     return out.select(*keep, *fields, F.struct("line", "h.rank", "h.start").alias("ord")).filter(F.col("value").isNotNull())
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import ARXIV_TARGET, GITHUB
 from ..functions.text import matches, strip
 
 # Owners that are no owners, repositories that papers use and do not hold, words about code. ---------
@@ -18,13 +17,22 @@ FRAMEWORKS = [
 ]
 CODE_WORDS = r"(?iU)\b(code|implementation|available|released|open[- ]source|reproduc|repository)\b"
 # ------------------------------------------------------------------------------------------------------------------
+#: Characters of a link behind its host: an owner has up to 39, a name up to 100.
+MAX_LINK = 400
 ARXIV_MENTION = r"(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv:\s*)(\d{4}\.\d{4,5}|[a-z][a-z.\-]+/\d{7})"
 
 
 def arxiv_id(target: Column) -> Column:
     """The id of arxiv:ID, an arXiv URL or a bare id, without its version; null for anything else."""
-    found = F.regexp_extract(strip(target), ARXIV_TARGET, 1)
-    return F.when(found != "", found)
+    text = strip(target)
+    steps = F.split(text, "/")
+    host = F.lower(F.get(steps, F.lit(2))).isin("arxiv.org", "www.arxiv.org") & F.lower(F.get(steps, F.lit(0))).isin("http:", "https:") & (F.get(steps, F.lit(1)) == "")
+    page = host & F.lower(F.get(steps, F.lit(3))).isin("abs", "pdf") & (F.size(steps) == 5)
+    named = F.when(F.size(steps) == 1, F.regexp_replace(text, "(?i)^arxiv:", "")).when(page, F.get(steps, F.lit(4)))
+    bare = F.regexp_replace(F.regexp_replace(named, r"(?i)\.pdf$", ""), "(?i)v[0-9]+$", "")
+    year, number = F.substring_index(bare, ".", 1), F.substring_index(bare, ".", -1)
+    digits = year.rlike("^[0-9]{4}$") & number.rlike("^[0-9]{4,5}$") & (F.length(bare) == F.length(year) + F.length(number) + 1)
+    return F.when(digits, bare)
 
 
 def arxiv_mentions(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -38,7 +46,15 @@ def repo_links(text: Column) -> Column:
     """Structs (start, end, repo) of the repositories mentioned in a text, in order, with repeats."""
     name = lambda x: F.regexp_replace(F.regexp_replace(x["name"], r"[.,;:)\]}'\"]+$", ""), r"\.git$", "")
     good = lambda x: (name(x) != "") & ~F.lower(x["owner"]).isin(NOT_OWNERS)
-    found = F.filter(matches(text, GITHUB, ["owner", "name"]), good)
+
+    def read(x: Column) -> Column:
+        behind = F.substring(text, x["end"] + 1, F.lit(MAX_LINK))
+        owner = F.regexp_extract(behind, r"(?U)^[A-Za-z0-9][\w.-]*", 0)
+        rest = F.substring(behind, F.length(owner) + 1, F.lit(MAX_LINK))
+        repo = F.when((owner != "") & rest.startswith("/"), F.regexp_extract(F.substring(rest, 2, MAX_LINK), "^[A-Za-z0-9_.-]+", 0)).otherwise("")
+        return F.struct(x["start"].alias("start"), (x["end"] + F.length(owner) + 1 + F.length(repo)).alias("end"), owner.alias("owner"), repo.alias("name"))
+
+    found = F.filter(F.transform(matches(text, r"(?i)github\.com/", []), read), good)
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat_ws("/", x["owner"], name(x)).alias("repo")))
 
 

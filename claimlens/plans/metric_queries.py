@@ -290,3 +290,26 @@ def number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")
     x = F.when(q % 3 == 0, F.lit(0.0)).when(q % 3 == 1, q + 0.25).otherwise(-q - 0.125)
     return _long(li.select("l_orderkey", "l_linenumber", compact_number(x).alias("shown")), "l_linenumber")
+
+
+@query("""
+WITH v AS (SELECT concat('m', user_id % 5) AS extraction, concat('m', user_id % 5, '.', event_id) AS id, event_type AS name, concat('r', event_id % 4) AS run, value, event_id AS ord FROM events),
+g AS (SELECT extraction, name, run, count(*) AS n, arg_max(id, ord) AS last, arg_max(value, ord) AS last_v, arg_min(id, (value, ord)) AS low, min(value) AS low_v FROM v GROUP BY ALL),
+h AS (SELECT extraction, name, count(*) AS n, arg_min(id, ord) AS first, arg_min(value, ord) AS first_v, arg_min(id, (-value, ord)) AS high, max(value) AS high_v FROM v GROUP BY ALL),
+l AS (SELECT extraction, string_agg(DISTINCT name, ', ' ORDER BY name) AS names FROM v GROUP BY ALL)
+SELECT id AS selector, CAST(NULL AS VARCHAR) AS run, id, value, CAST(1 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS problem FROM v WHERE ord % 10 = 0
+UNION ALL SELECT concat(extraction, ':', upper(name), ':first'), NULL, first, first_v, n, NULL FROM h
+UNION ALL SELECT concat(extraction, ':', name, ':max'), NULL, high, high_v, n, NULL FROM h
+UNION ALL SELECT concat(extraction, ':', name, '@r3'), 'r3', last, last_v, n, NULL FROM g WHERE run = 'r3'
+UNION ALL SELECT concat(extraction, ':', name, ':min@each'), run, low, low_v, n, NULL FROM g
+UNION ALL SELECT concat(extraction, ':none'), NULL, NULL, NULL, 0, concat('No ''none'' values in ', extraction, '. Names found: ', names) FROM l
+UNION ALL SELECT concat('m9', extraction), NULL, NULL, NULL, 0, concat('Bad selector ''m9', extraction, '''') FROM l
+""")
+def select_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors of all forms as data, over values of five extractions and four runs."""
+    e = table(spark, sf_dir, "events")
+    extraction, name = F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")), F.col("event_type")
+    values = e.select(extraction.alias("extraction"), F.concat(extraction, F.lit("."), "event_id").alias("id"), name.alias("name"), F.concat(F.lit("r"), (F.col("event_id") % 4).cast("string")).alias("run"), "value", F.col("event_id").alias("ord"))
+    forms = [F.concat("extraction", F.lit(":"), F.upper("name"), F.lit(":first")), *[F.concat("extraction", F.lit(":"), "name", F.lit(x)) for x in (":max", "@r3", ":min@each")], F.concat("extraction", F.lit(":none")), F.concat(F.lit("m9"), "extraction")]
+    wanted = values.select("extraction", "name").distinct().select(F.explode(F.array(*forms)).alias("selector")).unionByName(values.filter("ord % 10 = 0").select(F.col("id").alias("selector")))
+    return select.resolve(values, wanted)

@@ -48,28 +48,61 @@ def test_fraction_text_and_lines(spark):
     assert (row["fraction"], row["line"], row["text"]) == ("3/4", 3, "Accuracy: 3/4")
 
 
+def named(before, first):
+    """The name that leads up to a value which begins with ``first``: plain Python, right to left over the same words."""
+    s = before.rstrip(" \t")
+    hedge = next((h for h in sorted(patterns.HEDGES, key=len, reverse=True) if s.lower().endswith(h)), "")
+    s = s[: len(s) - len(hedge)].rstrip(" \t")
+    behind = (before + first)[len(s)]
+    for verb in sorted(patterns.VERBS, key=len, reverse=True):
+        word = verb.isalpha()
+        if s.lower().endswith(verb) and not (word and (re.match(r"\w", behind) or re.match(r"\w", s[: -len(verb)][-1:]))):
+            s = s[: -len(verb)]
+            break
+    s = s.rstrip(" \t")
+    if s.endswith(")") and "(" in s and s.count(")", s.rindex("(")) == 1 and len(s) - s.rindex("(") <= patterns.MAX_REMARK + 2:
+        s = s[: s.rindex("(")].rstrip(" \t")
+    prefixes, splits = patterns.any_of(patterns.METRIC_PREFIXES), patterns.any_of([*patterns.SPLITS, "valid"])
+    for cut, after in ((s[:-1], ".") if s.endswith(".") else (s, (before + first)[len(s)]), (s, (before + first)[len(s)])):
+        for at in range(len(cut)):
+            if not re.match(r"[\w.]", cut[at - 1 : at]) and re.fullmatch(rf"(?:{prefixes}[ _-]){{0,2}}{patterns.METRIC}(?:[_-]{splits})?", cut[at:], re.I) and not re.match("[a-zA-Z0-9]", after):
+                return at, cut[at:]
+    return None
+
+
 def spec(line):
     """The rules of a text line in plain Python, over the same vocabulary."""
-    peek = patterns._PEEK
-    name = re.compile(patterns.METRIC_VALUE.replace("(?iU)", "").replace(peek, ""), re.I)
-    kv = re.compile(patterns.KEY_VALUE.replace("(?U)", ""))
-    tab = re.compile(patterns.KEY_TAB.replace("(?U)", ""))
-    if re.match(patterns.EXCEPTION_LINE.replace("(?U)", ""), line):
+    if line.lstrip().startswith(patterns.TRACEBACK) or re.match(r"[\w.]*(?:" + "|".join(patterns.EXCEPTION_SUFFIXES) + "):", line.lstrip()):
         return []
     out, taken = [], []
-    for m in name.finditer(line):
-        rest = line[m.end(3) if m[3] else m.end(2) :][:2]
+    for m in re.finditer(rf"(?![.](?<=[A-Za-z][.])){patterns.NUMBER}", line):
+        start = m.start()
+        if re.match(r"[\w@]", line[start - 1 : start]) and re.match(r"\d+\.\d", m[0]):
+            start += m[0].index(".") + 1
+        name = named(line[:start], line[start])
+        if not name:
+            continue
+        over = re.match(r"[ \t]*/[ \t]*(\d+)", line[m.end() :])
+        end = m.end() + (over.end() if over else 0)
+        rest = line[end : end + 2]
         if (rest[:1].isalpha() and rest[:1].lower() != "e") or (rest[:1] == "." and rest[1:2].isdigit()):
             continue
-        if m[3] and int(m[3]) == 0:
+        if over and int(over[1]) == 0:
             continue
-        out.append((m[1], float(m[2]) / (int(m[3]) if m[3] else 1)))
-        taken.append(m.span())
-    for p in (kv, tab):
-        for m in p.finditer(line):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append((m[1], float(m[2])))
-    return out
+        out.append((name[1], float(line[start : m.end()]) / (int(over[1]) if over else 1)))
+        taken.append((name[0], end + len(re.match(r"[ \t]*%?", line[end:])[0])))
+    found = []
+    for at in (k for k, c in enumerate(line) if c == "="):
+        key = re.search(r"[\w.@]*$", line[:at].rstrip(" \t"))
+        right = line[at + 1 :].lstrip(" \t")
+        right = (right[1:] if right.startswith("[") else right).lstrip(" \t")
+        value = re.match(patterns.NUMBER, right)
+        if value and re.fullmatch(r"[A-Za-z][\w@]*(?:\.[A-Za-z][\w@]*)*", key[0]) and not re.match(r"[\w.]", right[value.end() :].removeprefix(".")[:1]) and right[value.end() : value.end() + 2] != "..":
+            found.append((key.start(), len(line) - len(right) + value.end(), key[0], float(value[0])))
+    cells = re.split(r"\t+", line.strip(" \t"))
+    if len(cells) == 2 and re.fullmatch(r"[A-Za-z][\w@]*", cells[0]) and re.fullmatch(patterns.NUMBER, cells[1]):
+        found.append((0, len(line), cells[0], float(cells[1])))
+    return out + [(name, value) for start, end, name, value in found if not any(a < end and start < b for a, b in taken)]
 
 
 def test_extraction_equals_the_plain_rules(spark):

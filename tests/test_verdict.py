@@ -73,10 +73,6 @@ def test_selectors(spark):
     s = select.summary(df, [], ident="ord").first()
     assert (s["min_id"], s["max_id"], s["count"]) == (2, 1, 5)  # ties go to the earliest
     assert sorted(tuple(r) for r in select.select(df, how="last", per=["run"]).collect()) == [("a", 1.0, 2), ("b", 3.0, 3)]
-    assert select.parse_selector("m2:loss:min@r3") == {"extraction": "m2", "number": None, "name": "loss", "how": "min", "run": "r3"}
-    assert select.parse_selector("m2.17")["number"] == "17"
-    with pytest.raises(ValueError):
-        select.parse_selector("m2:loss:median")
 
 
 def test_current_and_reasoning(spark):
