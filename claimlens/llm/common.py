@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +81,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
+def keep_rows(docs: DataFrame, decide: Callable[[], Callable[[str], bool]], text: str = "text") -> DataFrame:
+    """The rows whose text (null: empty) passes a test, decided where they are read: nothing is shuffled or joined.
+
+    ``decide`` makes the test, once a task.
+    """
+    rows = docs.withColumn(text, F.col(text).cast("binary"))
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = decide()
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array([good((t.as_py() or b"").decode(errors="replace")) for t in batch.column(at)], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).withColumn(text, F.col(text).cast("string"))
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column without nulls, end to end, and its n + 1 offsets."""
     big = pa.types.is_large_binary(col.type)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, text_key
+from .common import body, keep_rows
 
 MATCH_SCHEMA = "doc_id long, item_id long, distance long, budget long, match_start long, match_end long"
 SLAB_CHARS = 2_000_000
@@ -154,9 +154,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, sla
     return out if out is not None else docs.sparkSession.createDataFrame([], MATCH_SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, slab_chars: int = SLAB_CHARS) -> DataFrame:
     """The documents that hold no benchmark item; all columns stay."""
-    # a text decides for itself, whatever its doc_id: null and reused ids are told apart
-    key = text_key()
-    leaked = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark, rate=rate).select(F.col("doc_id").alias("leaked_key")).distinct()
-    return docs.join(leaked, key == leaked["leaked_key"], "left_anti")
+
+    def clean(slab: list[tuple[int, str]]):
+        matcher = Matcher(slab, rate)
+        return lambda text: not matcher.find(normalise(text))
+
+    for slab in benchmark_slabs(benchmark, slab_chars):
+        docs = keep_rows(docs, lambda slab=slab: clean(slab))
+    return docs

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, sample_ids
+from .common import body, keep_rows, sample_ids
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -204,6 +204,11 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select("doc_id", body().alias("body")).mapInArrow(run, SCORE_SCHEMA)
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The documents with a score under ``threshold``; all columns stay."""
+    return keep_rows(docs, lambda: lambda text: model.score(text)[0] < threshold)
+
+
 def locate(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """doc_id, start, end, score of every sentence with a probability of at least ``threshold``."""
 

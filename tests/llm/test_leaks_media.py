@@ -57,7 +57,7 @@ def test_operator(spark, odd_texts, with_null_id):
     assert decontam.normalise(texts[n])[r["match_start"] : r["match_end"]] == decontam.normalise(item)
     many = decontam.find_leaks(frame(spark, texts), bench, slab_chars=10)  # a slab for each item
     assert many.count() == len(rows)
-    kept = decontam.decontaminate(with_null_id(texts), bench)
+    kept = decontam.decontaminate(with_null_id(texts), bench, slab_chars=60)
     assert kept.count() == len(texts) + 1 - 2 and "sig" in kept.columns
     assert decontam.find_leaks(frame(spark, texts), bench.limit(0)).count() == 0
     assert decontam.find_leaks(frame(spark, texts).limit(0), bench).count() == 0
@@ -128,3 +128,15 @@ def test_queries_have_their_columns(spark):
     }
     for name, columns in want.items():
         assert columns <= set(queries.queries()[name](spark, sf).columns)
+
+
+def test_rows_are_kept_where_they_are(spark, odd_texts, with_null_id):
+    from claimlens.llm.common import keep_rows
+
+    rows = with_null_id(odd_texts)
+    out = keep_rows(rows, lambda: lambda text: "same" not in text)
+    assert out.columns == rows.columns and out.dtypes == rows.dtypes
+    assert sorted(map(str, out.collect())) == sorted(str(r) for r in rows.collect() if "same" not in (r["text"] or ""))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert keep_rows(rows.limit(0), lambda: lambda text: True).count() == 0
