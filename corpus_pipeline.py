@@ -6,14 +6,12 @@ rows with null texts count as empty texts, and extra columns are dropped.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm import decontam, linededup, neardup, packing, toxicity
-from claimlens.llm.common import shared_dir, table, text_key
+from claimlens.llm.common import forget, materialize, table, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,11 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or model, learnt from the labels of these documents, calls toxic go."""
     docs = docs.select(*COLUMNS)
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    # the score follows from the text alone, so a text decides for its own rows, whatever their doc_id
-    key = text_key()
-    toxic = toxicity.score(docs.select(key.alias("doc_id"), "text"), model).filter("score >= 0.5").select(F.col("doc_id").alias("toxic_key")).distinct()
-    return docs.join(toxic, key == toxic["toxic_key"], "left_anti")
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True)))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,11 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/claimlens/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        out.write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(before)  # the stage's input, unless it is the table itself
+    return STAGES[-1][1](spark, docs, sf_dir)
