@@ -168,13 +168,16 @@ def number_claims(claims: DataFrame, key: str, prefix: str, order: str = "ord",
 
 
 def lookup(claims: DataFrame, wanted: DataFrame, on: list[str], order: str = "ord") -> DataFrame:
-    """For each wanted row its first claim with equal keys (null equals null), or nulls."""
-    c = claims.select(*[F.col(k).alias(f"c_{k}") for k in on], F.struct(*claims.columns).alias("claim"), F.col(order).alias("_o"))
-    same = None
-    for k in on:
-        one = F.col(k).eqNullSafe(F.col(f"c_{k}"))
-        same = one if same is None else same & one
-    return wanted.join(c, same, "left").groupBy(*wanted.columns).agg(F.min_by("claim", "_o").alias("claim"))
+    """For each wanted row its first claim with equal keys (null equals null), or nulls.
+
+    The first claims are found ahead of the join, so it meets one claim a key and holds no pairs beyond its result.
+    """
+    keys = [f"_k{i}" for i in range(len(on))]
+    first = claims.groupBy(*[F.col(k).alias(x) for k, x in zip(on, keys, strict=True)]).agg(F.min_by(F.struct(*claims.columns), order).alias("claim"))
+    same = F.lit(True)
+    for k, x in zip(on, keys, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(x))
+    return wanted.join(first, same, "left").select(*wanted.columns, "claim")
 
 
 def result_claims(claims: DataFrame) -> DataFrame:

@@ -71,3 +71,13 @@ def test_identity(spark):
 
     with pytest.raises(Exception, match="a claim needs"):
         claims.manual_claim(spark.createDataFrame([("x", None, 1.0, None)], "source string, value double, lo double, hi double")).collect()
+
+
+def test_lookup_joins_one_claim_a_key_and_keeps_repeated_wanted_rows(spark):
+    df = spark.range(2000).selectExpr("IF(id % 2 = 0, 'acc', NULL) AS metric", "id AS ord")
+    want = spark.createDataFrame([("acc",), ("acc",), (None,), ("f1",)], "metric string")
+    out = claims.lookup(df, want, ["metric"])
+    assert sorted((str(r["metric"]), r["claim"] and r["claim"]["ord"]) for r in out.collect()) == [("None", 1), ("acc", 0), ("acc", 0), ("f1", None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = {name: [k for k, line in enumerate(plan) if name in line] for name in ("Join", "Aggregate")}
+    assert at["Aggregate"] and min(at["Aggregate"]) > min(at["Join"])  # below the join, so no pairs reach an aggregate
