@@ -1,7 +1,7 @@
 """Metric values from text lines, JSON, JSON lines and delimited tables.
 
-Text lines and JSON are projections and generators over built-in functions, without a shuffle; only deeply nested JSON is
-shuffled, by a recursive query. Python reads delimited tables alone. Rows carry ``ord``, the order in which a reader of the
+Text lines and JSON are projections and generators over built-in functions, without a shuffle. Python reads delimited
+tables alone. Rows carry ``ord``, the order in which a reader of the
 source meets them (line, pass, place), since first and last depend on it.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.names import normalize_metric, number
 from ..functions.patterns import NUMBER
 from ..functions.readings import equations, is_exception, metric_values, tabbed
-from ..functions.text import overlaps, split_lines, strip
+from ..functions.text import let, overlaps, split_lines, strip
 
 MAX_LINE = 2000
 MAX_TEXT = 300
@@ -90,21 +90,22 @@ def _structured(key: Column, value: Column) -> list[Column]:
 def _one_json(text: Column) -> Column:
     """The text as a single JSON value; null if anything else stands beside it, which the parser alone would overlook."""
     boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.try_variant_get(boxed, "$[1]", "variant").isNull(), F.try_variant_get(boxed, "$[0]", "variant"))
+    return let(boxed, lambda b: F.when(F.try_variant_get(b, "$[1]", "variant").isNull(), F.try_variant_get(b, "$[0]", "variant")))
 
 
 def nesting(text: Column) -> Column:
     """The greatest depth of open brackets outside of strings."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*+"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "")
-    step = lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+    # runs of opening brackets, each with the closing ones behind it: the depth is greatest at the end of a run
+    runs = F.regexp_extract_all(F.regexp_replace(bare, r"[^\[\]{}]+", ""), F.lit(r"[\[{]++[\]}]*+|[\]}]++"), 0)
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    def after(a: Column, c: Column) -> Column:
-        now = a["now"] + step(c)
-        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+    def after(a: Column, run: Column) -> Column:
+        opened = F.length(F.translate(run, "]}", ""))
+        top = a["now"] + opened
+        return F.struct((top - (F.length(run) - opened)).alias("now"), F.greatest(a["most"], top).alias("most"))
 
-    return F.aggregate(marks, start, after, lambda a: a["most"])
+    return F.aggregate(runs, start, after, lambda a: a["most"])
 
 
 def _number_of(v: Column) -> Column:
@@ -112,27 +113,35 @@ def _number_of(v: Column) -> Column:
     return F.when(F.try_variant_get(v, "$", "double").isNotNull() & F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
 
 
-#: The recursion ends by itself, at the deepest nesting that the parser takes; its rows have no limit.
-_TREES = f"""
-WITH RECURSIVE nodes(_key, _path, _v, _pos) MAX RECURSION LEVEL {MAX_NESTING + 100} AS (
-  SELECT _key, '', _v, CAST(array() AS ARRAY<INT>) FROM {{trees}}
-  UNION ALL
-  SELECT n._key,
-    CASE WHEN c.key IS NULL THEN concat(n._path, '[', c.pos, ']') WHEN n._path = '' THEN c.key ELSE concat(n._path, '.', c.key) END,
-    c.value, concat(n._pos, array(c.pos))
-  FROM nodes n, LATERAL variant_explode(n._v) c WHERE c.key IS NOT NULL OR c.pos < {MAX_ITEMS})
-SELECT * FROM nodes LIMIT ALL"""
+def _deep_leaves(values: DataFrame, keep: list[str]) -> DataFrame:
+    """The leaves of deeply nested values: a fold inside the row opens one level of containers a step, so nothing is shuffled."""
 
+    def node(path: Column, pos: Column, v: Column) -> Column:
+        return F.struct(path.alias("path"), pos.alias("pos"), v.alias("v"), _number_of(v).alias("value"))
 
-def _deep_leaves(values: DataFrame, keep: list[str]) -> DataFrame:
-    """The leaves of deeply nested values, by recursion over their nodes.
+    def children(n: Column) -> Column:
+        at = lambda k: F.concat(n["pos"], F.array(k))
+        items = F.slice(F.try_variant_get(n["v"], "$", "array<variant>"), 1, MAX_ITEMS)
+        fields = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
+        dot = F.when(n["path"] != "", F.lit(".")).otherwise(F.lit(""))
+        in_list = F.transform(items, lambda v, k: node(F.concat(n["path"], F.lit("["), k.cast("string"), F.lit("]")), at(k), v))
+        in_object = F.transform(fields, lambda f, k: node(F.concat(n["path"], dot, f["key"]), at(k), f["value"]))
+        return F.coalesce(in_list, in_object, F.array().cast(nodes))
 
-    The recursion shuffles its nodes, so they carry a digest of their text and no more; equal texts are one tree.
-    """
-    deep = values.withColumn("_key", F.sha2("_raw", 256)).drop("_v")
-    trees = deep.groupBy("_key").agg(F.first("_raw").alias("_raw")).select("_key", _one_json(F.col("_raw")).alias("_v"))
-    leaves = values.sparkSession.sql(_TREES, trees=trees).withColumn("value", _number_of(F.col("_v"))).filter("value is not null").drop("_v")
-    return deep.join(leaves, "_key").select(*keep, "_lines", "_line", "_path", "_pos", "value")
+    def numbers(level: Column) -> Column:
+        return F.transform(F.filter(level, lambda n: n["value"].isNotNull()), lambda n: F.struct(n["path"].alias("_path"), n["pos"].alias("_pos"), n["value"].alias("value")))
+
+    nodes, leaves = "array<struct<path:string,pos:array<int>,v:variant,value:double>>", "array<struct<_path:string,_pos:array<int>,value:double>>"
+    root = F.array(F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("pos"), F.col("_v").alias("v"), F.lit(None).cast("double").alias("value"))).cast(nodes)
+    start = F.struct(root.alias("level"), F.array().cast(leaves).alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        # scalars stay among the open nodes for one step, in which they have no children
+        below = F.flatten(F.transform(F.filter(s["level"], lambda n: n["value"].isNull()), children))
+        return F.struct(below.cast(nodes).alias("level"), F.concat(s["done"], numbers(s["level"])).cast(leaves).alias("done"))
+
+    found = F.aggregate(F.sequence(F.lit(1), nesting(F.col("_raw"))), start, step, lambda s: F.concat(s["done"], numbers(s["level"])))
+    return values.select(*keep, "_lines", "_line", F.inline(found))
 
 
 def _json_parts(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -149,8 +158,8 @@ def json_values(docs: DataFrame, text: str = "text", depth: int = 4, keep: list[
 
     A text that is no JSON document is read as JSON lines: bad lines are skipped and the line is the physical one; in a
     document it is the first line that holds the leaf's quoted key. Values nested up to ``depth`` are flattened level by
-    level by built-in generators, without a shuffle; deeper ones by a recursive query over their nodes, to any nesting that
-    the parser takes (1000; what it refuses: ``json_refused``). A number beyond the doubles is an infinity.
+    level by built-in generators, deeper ones by a fold over their levels, both without a shuffle, to any nesting that the
+    parser takes (1000; what it refuses: ``json_refused``). A number beyond the doubles is an infinity.
     """
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
     values = _json_parts(docs, text, keep)

@@ -192,6 +192,31 @@ def test_nesting_counts_open_brackets_outside_of_strings(spark):
     assert {r[0]: r[1] for r in df.select("t", extract.nesting(F.col("t"))).collect()} == cases
 
 
+def test_deep_json_is_flattened_without_a_shuffle(spark):
+    odd = '{"": {"": [1, {"a.b": [[[[2.5, null, "x", {"k": -3}]]]]}]}, "n": {"m": {"o": {"p": {"q": {}, "r": [], "s": false}}}}, "z": 4}'
+    wide = '{"a": {"b": {"c": {"d": {"e": [' + ", ".join(str(k) for k in range(1200)) + "]}}}}}"
+    out = extract.json_values(spark.createDataFrame([("odd", odd), ("wide", wide), ("line", "step\n" + odd), ("deepest", "[" * 999 + "7" + "]" * 999)], "source string, text string"))
+    rows = {}
+    for r in out.orderBy("source", "ord").collect():
+        rows.setdefault(r["source"], []).append((r["raw_name"], r["value"], r["line"], len(r["ord"]["pos"])))
+    leaves = [("[0]", 1.0, 3), (".".join(["[1]", "a", "b[0][0][0][0]"]), 2.5, 8), ("[1].a.b[0][0][0][3].k", -3.0, 9), ("z", 4.0, 1)]
+    assert sorted(rows["odd"]) == sorted((k, v, 1, n) for k, v, n in leaves) and sorted(rows["line"]) == sorted((k, v, 2, n) for k, v, n in leaves)
+    assert rows["wide"] == [(f"a.b.c.d.e[{k}]", float(k), 1, 6) for k in range(1000)]
+    assert rows["deepest"] == [("[0]" * 999, 7.0, 1, 999)] and len(rows) == 4
+    assert not any(x in out._jdf.queryExecution().optimizedPlan().toString() for x in ("UnionLoop", "Join", "Aggregate "))
+    depths = {"]][[[": 1, "[[]][[[]]]": 3, "[{}]]][[": 2}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in depths], "t string").select("t", extract.nesting(F.col("t"))).collect()} == depths
+
+
+def test_refused_texts_are_parsed_twice_at_most(spark):
+    texts = {"page": "\x0c[1]", "blank": " \n\u2003\n", "spaced": "\u2003{1}\u2003\n2", "twice": '{"a": 1, "a": 2}\n{"a": 1, "a": 2}\n', "closers": "]]" + "[" * 1002}
+    out = extract.json_refused(spark.createDataFrame(list(texts.items()), "source string, text string"))
+    got = {r["source"]: (r["lines_read"], r["lines_skipped"], r["reason"]) for r in out.collect()}
+    assert got == {"spaced": (1, 1, "lines that are no JSON"), "twice": (0, 2, "no valid JSON document"), "closers": (0, 1, "lines that are no JSON")}
+    # once as a whole, once line by line
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 2
+
+
 def test_json_that_the_parser_refuses_has_a_reason(spark):
     texts = {"deep": "[" * 1001 + "]" * 1001, "digits": "[" + "1" * 1001 + "]", "twice": '{"a": 1, "a": 2}', "lines": '{"a": 1}\n\nstep 2\n[2]', "prose": "no json", "fine": "[1]", "all lines": "1\n[2]\n", "empty": "", "none": None}
     df = spark.createDataFrame(list(texts.items()), "source string, text string")
