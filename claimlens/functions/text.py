@@ -16,8 +16,8 @@ def strip(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines without their ends; no empty line after a final break, no line in an empty text."""
-    parts = F.split(c, _BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, _BREAK, -1), cut)
 
 
 def tail(c: Column, lines: int, chars: int) -> Column:

@@ -194,12 +194,14 @@ def json_refused(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     """
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
     rest = docs.filter(F.col(text).isNotNull() & _one_json(F.col(text)).isNull())
-    full = F.filter(split_lines(F.col(text)), lambda x: strip(x) != "")
-    taken = F.size(F.filter(full, lambda x: _one_json(x).isNotNull()))
+    # a line that is the whole text has been parsed; the generator keeps the filter on its counts from counting again
+    full = F.filter(split_lines(F.col(text)), lambda x: x.rlike(r"(?U)\S"))
+    taken = lambda lines: F.size(F.filter(lines, lambda x: (x != F.col(text)) & _one_json(x).isNotNull()))
+    counts = F.transform(F.array(full), lambda lines: F.struct(F.size(lines).alias("_lines"), taken(lines).alias("lines_read")))
     reason = F.when(nesting(F.col(text)) > MAX_NESTING, f"nested over {MAX_NESTING} deep").when(F.col(text).rlike(rf"[0-9]{{{MAX_DIGITS + 1}}}"), f"a number of over {MAX_DIGITS} digits")
     reason = reason.when(F.col(text).rlike(r"^\s*[\[{]") & (F.col("lines_read") == 0), "no valid JSON document").otherwise("lines that are no JSON")
-    out = rest.select(*keep, text, taken.alias("lines_read"), (F.size(full) - taken).alias("lines_skipped"))
-    return out.filter("lines_skipped > 0").select(*keep, "lines_read", "lines_skipped", reason.alias("reason"))
+    out = rest.select(*keep, text, F.inline_outer(counts)).filter("_lines > lines_read")
+    return out.select(*keep, "lines_read", (F.col("_lines") - F.col("lines_read")).alias("lines_skipped"), reason.alias("reason"))
 
 
 def csv_values(docs: DataFrame, text: str = "text", separator: str = ",", keep: list[str] | None = None) -> DataFrame:
