@@ -231,6 +231,20 @@ def test_quality_rejects_repeated_words_labelled_low(spark, prose):
     assert rows[0]["threshold"] <= 1.15 * worst and not rows[n]["kept"]
 
 
+def test_quality_tells_characters_beyond_the_alphabet_apart(spark, prose):
+    n, seen, new = len(prose), "".join(chr(0x4E00 + k) for k in range(60)), "".join(chr(0x5E00 + k) for k in range(60))
+    texts = [t + " " + seen for t in prose] + [prose[0] + " " + seen, prose[0] + " " + new]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(n)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in knlm.quality(frame(spark, texts), labels).collect()}
+    assert rows[n]["n_symbols"] == rows[n + 1]["n_symbols"] and rows[n]["perplexity"] < rows[n + 1]["perplexity"]
+    counts = np.zeros(0x110000, np.int64)
+    counts[[ord(c) for c in "abc" + seen]] = [900, 800, 700, *range(60, 0, -1)]
+    symbol = knlm.alphabet(counts)
+    share = 10 ** knlm.shares(counts, symbol).astype(float)
+    rare = (symbol == knlm.RARE) & (counts > 0)
+    assert rare.sum() == 63 - (knlm.SYMBOLS - 4) and abs(share[rare].sum() + share[ord("z")] - 1) < 1e-5 and share[ord("a")] == 1
+
+
 def test_quality_level_is_chosen_from_low_rows(spark):
     good = spark.createDataFrame([("en", float(k)) for k in range(1, 1001)], "lang string, perplexity double")
     low = spark.createDataFrame([("en", 982.5)] * 9 + [("en", 2000.0)], "lang string, perplexity double")
