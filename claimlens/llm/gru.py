@@ -21,7 +21,21 @@ TOGETHER = 8192
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    out = np.multiply(x, 0.5)
+    np.tanh(out, out=out)
+    out *= 0.5
+    out += 0.5
+    return out
+
+
+def _shift(a: np.ndarray) -> np.ndarray | float:
+    """What to take off the rows (at least one) ahead of exp: one number where no row can underflow, which is faster, else each row's largest."""
+    top = a.max()
+    return top if top - a.min() < 60 else a.max(axis=1, keepdims=True)
+
+
+#: Sums over rows as a product, which is faster than a sum along the short axis.
+ONES = np.ones(PER_CLASS, np.float32)
 
 
 class Gru:
@@ -43,6 +57,7 @@ class Gru:
             flat = np.random.default_rng(seed).normal(0, 0.1, sum(sizes))
         self.flat = np.array(flat, np.float32)  # a copy of its own
         self.p = self._views(self.flat)
+        self.room: list[np.ndarray] | None = None  # what ``gradient`` works in, kept from window to window
 
     @classmethod
     def _views(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -67,23 +82,33 @@ class Gru:
         n = np.tanh(a[:, 2 * HIDDEN :] + r * u)
         return n + z * (h - n), z, r, u, n
 
+    def _within(self, h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """The outputs inside the classes, for states sorted by class; those of class c are cut[c] to cut[c + 1]."""
+        out = np.empty((len(h), PER_CLASS), np.float32)
+        for c in range(CLASSES):
+            at = slice(cut[c], cut[c + 1])
+            np.matmul(h[at], self.p["within"][c], out=out[at])
+            out[at] += self.p["within_bias"][c]
+        return out
+
     def _log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target after each state."""
+        if not len(target):
+            return np.zeros(0, np.float32)
         if len(target) > TOGETHER:  # a part at a time, which the caches hold
             cuts = range(0, len(target), TOGETHER)
             return np.concatenate([self._log_probs(h[c : c + TOGETHER], target[c : c + TOGETHER]) for c in cuts])
         k, j = target // PER_CLASS, target % PER_CLASS
-        a = h @ self.p["cls"] + self.p["cls_bias"]
-        a -= a.max(axis=1, keepdims=True)
-        out = a[np.arange(len(k)), k] - np.log(np.exp(a).sum(axis=1))
+        a = h @ self.p["cls"]
+        a += self.p["cls_bias"]
+        a -= _shift(a)
+        out = a[np.arange(len(k)), k]
+        out -= np.log(np.exp(a, out=a) @ ONES)
         order = np.argsort(k.astype(np.int16), kind="stable")
-        cut = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[cut[c] : cut[c + 1]]
-            if len(at):
-                b = h[at] @ self.p["within"][c] + self.p["within_bias"][c]
-                b -= b.max(axis=1, keepdims=True)
-                out[at] += b[np.arange(len(at)), j[at]] - np.log(np.exp(b).sum(axis=1))
+        b = self._within(h[order], np.searchsorted(k[order], np.arange(CLASSES + 1)))
+        b -= _shift(b)
+        inner = b[np.arange(len(k)), j[order]]
+        out[order] += inner - np.log(np.exp(b, out=b) @ ONES)
         return out
 
     def score(self, texts: list[np.ndarray], together: int = 2048) -> np.ndarray:
@@ -130,26 +155,32 @@ class Gru:
         b, steps = x.shape
         p, flat = self.p, np.zeros_like(self.flat)
         g = self._views(flat)
-        h, trace, hs = np.zeros((b, HIDDEN), np.float32) if state is None else state.copy(), [], []
-        goes_on = (x != N_SYMBOLS).astype(np.float32)[:, :, None]
+        h = np.zeros((b, HIDDEN), np.float32) if state is None else state.copy()
+        goes_on = (x.T != N_SYMBOLS).astype(np.float32)[:, :, None]
+        if self.room is None or self.room[0].shape[:2] != (steps, b):
+            self.room = [np.empty((steps, b, width * HIDDEN), np.float32) for width in (1, 1, 1, 1, 1, 1, 1, 3)]
+        before, z, r, u, n, hs, du, da = self.room
         for t in range(steps):
-            h = h * goes_on[:, t]
-            new, z, r, u, n = self._recur(x[:, t], h)
-            trace.append((h, z, r, u, n))
-            h = new
-            hs.append(h)
+            h0 = np.multiply(h, goes_on[t], out=before[t])
+            of = p["inputs"][x[:, t]]
+            zr = _sigmoid(of[:, : 2 * HIDDEN] + h0 @ p["gates"])
+            z[t], r[t] = zr[:, :HIDDEN], zr[:, HIDDEN:]
+            np.matmul(h0, p["cand"], out=u[t])
+            np.tanh(of[:, 2 * HIDDEN :] + r[t] * u[t], out=n[t])
+            h = np.add(n[t], z[t] * (h0 - n[t]), out=hs[t])
         if state is not None:
             state[:] = h
-        hall = np.concatenate(hs)
+        hall = hs.reshape(-1, HIDDEN)
         target = y.T.reshape(-1)
         real = target >= 0
         weight = np.where(real, 1.0 / max(1, real.sum()), 0).astype(np.float32)
         target = np.where(real, target, 0)
         k, j = target // PER_CLASS, target % PER_CLASS
-        a = hall @ p["cls"] + p["cls_bias"]
-        a -= a.max(axis=1, keepdims=True)
+        a = hall @ p["cls"]
+        a += p["cls_bias"]
+        a -= _shift(a)
         np.exp(a, out=a)
-        a /= a.sum(axis=1, keepdims=True)
+        a /= (a @ ONES)[:, None]
         row = np.arange(len(k))
         loss = -(np.log(a[row, k] + 1e-20) * weight).sum()
         a[row, k] -= 1
@@ -158,34 +189,33 @@ class Gru:
         dh = a @ p["cls"].T
         order = np.argsort(k.astype(np.int16), kind="stable")
         cut = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        sorted_h, sorted_j, sorted_w, dk = hall[order], j[order], weight[order], np.empty_like(hall)
+        q = self._within(sorted_h, cut)
+        q -= _shift(q)
+        np.exp(q, out=q)
+        q /= (q @ ONES)[:, None]
+        loss -= (np.log(q[row, sorted_j] + 1e-20) * sorted_w).sum()
+        q[row, sorted_j] -= 1
+        q *= sorted_w[:, None]
         for c in range(CLASSES):
-            at = order[cut[c] : cut[c + 1]]
-            if len(at):
-                q = hall[at] @ p["within"][c] + p["within_bias"][c]
-                q -= q.max(axis=1, keepdims=True)
-                np.exp(q, out=q)
-                q /= q.sum(axis=1, keepdims=True)
-                i = np.arange(len(at))
-                loss -= (np.log(q[i, j[at]] + 1e-20) * weight[at]).sum()
-                q[i, j[at]] -= 1
-                q *= weight[at, None]
-                g["within"][c], g["within_bias"][c] = hall[at].T @ q, q.sum(axis=0)
-                dh[at] += q @ p["within"][c].T
+            at = slice(cut[c], cut[c + 1])
+            g["within"][c], g["within_bias"][c] = sorted_h[at].T @ q[at], q[at].sum(axis=0)
+            np.matmul(q[at], p["within"][c].T, out=dk[at])
+        dh[order] += dk
         dh = dh.reshape(steps, b, HIDDEN)
         back = np.zeros((b, HIDDEN), np.float32)
-        da = np.empty((steps, b, 3 * HIDDEN), np.float32)
+        gates, cand = np.ascontiguousarray(p["gates"].T), np.ascontiguousarray(p["cand"].T)
         for t in range(steps - 1, -1, -1):
-            h0, z, r, u, n = trace[t]
             d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h0 - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            du = dn * r
-            dzr = np.concatenate([dz, dr], axis=1)
-            da[t] = np.concatenate([dzr, dn], axis=1)
-            g["gates"] += h0.T @ dzr
-            g["cand"] += h0.T @ du
-            back = (d * z + dzr @ p["gates"].T + du @ p["cand"].T) * goes_on[:, t]
+            shut = 1 - z[t]
+            dn = np.multiply(d * shut, 1 - n[t] * n[t], out=da[t, :, 2 * HIDDEN :])
+            np.multiply(d * (before[t] - n[t]), z[t] * shut, out=da[t, :, :HIDDEN])
+            np.multiply(dn * u[t], r[t] * (1 - r[t]), out=da[t, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn, r[t], out=du[t])
+            back = (d * z[t] + da[t, :, : 2 * HIDDEN] @ gates + du[t] @ cand) * goes_on[t]
+        flat_before = before.reshape(-1, HIDDEN).T
+        g["gates"][:] = flat_before @ da.reshape(-1, 3 * HIDDEN)[:, : 2 * HIDDEN]
+        g["cand"][:] = flat_before @ du.reshape(-1, HIDDEN)
         read = x.T.reshape(-1).astype(np.int16)
         by = np.argsort(read, kind="stable")
         read = read[by]
