@@ -8,24 +8,23 @@ text's log probability is that of the complete text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 CLASSES, PER_CLASS = 32, 32
 N_SYMBOLS = CLASSES * PER_CLASS
 END, RARE = 0, 1
 HIDDEN = 16
-#: Time steps of one scoring window.
-WINDOW = 64
-#: States whose outputs are worked out at once.
-TOGETHER = 8192
+#: States that scoring goes through at once, and rows of logits that are worked out at once: what the caches hold.
+TOGETHER, PART = 8192, 2048
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.multiply(x, 0.5)
-    np.tanh(out, out=out)
-    out *= 0.5
-    out += 0.5
-    return out
+def _logistic(x: np.ndarray, top: float = 1.0) -> np.ndarray:
+    """top / (1 + exp(x)) in place; an infinite exp gives 0. exp takes numpy half the time of tanh."""
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(np.float32(top), x, out=x)
 
 
 def _shift(a: np.ndarray) -> np.ndarray | float:
@@ -34,6 +33,14 @@ def _shift(a: np.ndarray) -> np.ndarray | float:
     return top if top - a.min() < 60 else a.max(axis=1, keepdims=True)
 
 
+def _after(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The symbol before each symbol of texts that stand end to end; N_SYMBOLS where a text begins."""
+    out = np.empty_like(flat)
+    out[1:] = flat[:-1]
+    out[(np.cumsum(lengths) - lengths)[lengths > 0]] = N_SYMBOLS
+    return out
+
+
 #: Sums over rows as a product, which is faster than a sum along the short axis.
 ONES = np.ones(PER_CLASS, np.float32)
 
@@ -74,41 +81,55 @@ class Gru:
         self.p["cls_bias"][:] = np.log(c.sum(axis=1) / c.sum())
         self.p["within_bias"][:] = np.log(c / c.sum(axis=1, keepdims=True))
 
-    def _recur(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        a = self.p["inputs"][x]
-        zr = _sigmoid(a[:, : 2 * HIDDEN] + h @ self.p["gates"])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        u = h @ self.p["cand"]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * u)
-        return n + z * (h - n), z, r, u, n
-
-    def _within(self, h: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """The outputs inside the classes, for states sorted by class; those of class c are cut[c] to cut[c + 1]."""
-        out = np.empty((len(h), PER_CLASS), np.float32)
-        for c in range(CLASSES):
-            at = slice(cut[c], cut[c + 1])
-            np.matmul(h[at], self.p["within"][c], out=out[at])
-            out[at] += self.p["within_bias"][c]
-        return out
+    def _folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input rows and recurrent weights (transposed), times what ``_logistic`` takes: sigmoid(v) = 1 / (1 + exp(-v)), tanh(v) = 2 / (1 + exp(-2 v)) - 1."""
+        by = np.repeat(np.asarray([-1, -2], np.float32), [2 * HIDDEN, HIDDEN])
+        return self.p["inputs"] * by, np.ascontiguousarray((np.hstack([self.p["gates"], self.p["cand"]]) * by).T)
+
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes and of the symbols inside each, the biases as one row more."""
+        p = self.p
+        return np.vstack([p["cls"], p["cls_bias"][None]]), np.concatenate([p["within"], p["within_bias"][:, None]], axis=1)
+
+    @staticmethod
+    def _sorted(h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States in order of their targets' classes, with a column of ones for the biases: order, where classes begin and end, states, places of class and symbol in rows of logits."""
+        k = target // PER_CLASS
+        order = np.argsort(k.astype(np.int16), kind="stable")
+        k, row = k.take(order), np.arange(0, len(k) * PER_CLASS, PER_CLASS)
+        states = np.ones((len(h), HIDDEN + 1), np.float32)
+        states[:, :HIDDEN] = np.ascontiguousarray(h).take(order, axis=0)
+        return order, np.searchsorted(k, np.arange(CLASSES + 1)), states, row + k, row + (target.take(order) - k * PER_CLASS)
+
+    @staticmethod
+    def _logits(states: np.ndarray, cut: np.ndarray, cls: np.ndarray, within: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[tuple[int, slice]]]]:
+        """By parts of the sorted states: their place, logits of the classes and inside them, the rows of each class."""
+        for low in range(0, len(states), PART):
+            part = states[low : low + PART]
+            inner, ends = np.empty((len(part), PER_CLASS), np.float32), (cut - low).clip(0, len(part)).tolist()
+            rows = [(c, slice(*ends[c : c + 2])) for c in range(CLASSES) if ends[c] < ends[c + 1]]
+            for c, at in rows:
+                np.matmul(part[at], within[c], out=inner[at])
+            outer = part @ cls
+            outer -= _shift(outer)
+            inner -= _shift(inner)
+            yield slice(low, low + len(part)), outer, inner, rows
 
     def _log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target after each state."""
         if not len(target):
             return np.zeros(0, np.float32)
-        if len(target) > TOGETHER:  # a part at a time, which the caches hold
+        if len(target) > TOGETHER:
             cuts = range(0, len(target), TOGETHER)
             return np.concatenate([self._log_probs(h[c : c + TOGETHER], target[c : c + TOGETHER]) for c in cuts])
-        k, j = target // PER_CLASS, target % PER_CLASS
-        a = h @ self.p["cls"]
-        a += self.p["cls_bias"]
-        a -= _shift(a)
-        out = a[np.arange(len(k)), k]
-        out -= np.log(np.exp(a, out=a) @ ONES)
-        order = np.argsort(k.astype(np.int16), kind="stable")
-        b = self._within(h[order], np.searchsorted(k[order], np.arange(CLASSES + 1)))
-        b -= _shift(b)
-        inner = b[np.arange(len(k)), j[order]]
-        out[order] += inner - np.log(np.exp(b, out=b) @ ONES)
+        order, cut, states, *places = self._sorted(h, target)
+        total = np.zeros(len(target), np.float32)
+        for part, *logits, _ in self._logits(states, cut, *self._outputs()):
+            for a, at in zip(logits, places, strict=True):
+                total[part] += a.reshape(-1).take(at[part] - part.start * PER_CLASS)
+                total[part] -= np.log(np.exp(a, out=a) @ ONES)
+        out = np.empty_like(total)
+        out[order] = total
         return out
 
     def score(self, texts: list[np.ndarray], together: int = 2048) -> np.ndarray:
@@ -118,33 +139,40 @@ class Gru:
         """
         total = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        table, weights = self._folded()
         for g in range(0, len(order), together):
             part = [i for i in order[g : g + together] if len(texts[i])]
             if not part:
                 continue
             lengths = np.asarray([len(texts[i]) for i in part])
-            h = np.zeros((len(part), HIDDEN), np.float32)
-            last = np.full(len(part), N_SYMBOLS, np.int64)
-            for t0 in range(0, int(lengths[0]), WINDOW):
+            flat = np.concatenate([texts[i] for i in part])
+            before, begin = _after(flat, lengths), np.cumsum(lengths) - lengths
+            h, t0 = np.zeros((HIDDEN, len(part)), np.float32), 0
+            while t0 < lengths[0]:
                 live = int(np.searchsorted(-lengths, -t0, side="left"))
-                steps = min(WINDOW, int(lengths[0]) - t0)
-                rows = np.zeros((live, steps), np.int64)
-                for i in range(live):
-                    s = texts[part[i]][t0 : t0 + steps]
-                    rows[i, : len(s)] = s
-                here = np.minimum(lengths[:live] - t0, steps)
-                states, targets, owners = [], [], []
-                h, last = h[:live], last[:live]
-                for t in range(steps):
-                    n = int(np.searchsorted(-here, -t, side="left"))  # texts that still have a symbol
-                    h = h.copy() if n < len(h) else h
-                    h[:n] = self._recur(last[:n], h[:n])[0]
-                    states.append(h[:n].copy())
-                    targets.append(rows[:n, t])
-                    owners.append(np.arange(n))
-                    last[:n] = rows[:n, t]
-                lp = self._log_probs(np.concatenate(states), np.concatenate(targets))
-                total[np.asarray(part[:live])] += np.bincount(np.concatenate(owners), lp, live)
+                steps = min(max(1, TOGETHER // live), int(lengths[0]) - t0)
+                goes_on = np.arange(t0, t0 + steps)[:, None] < lengths[:live]  # texts that still have a symbol come first
+                at = (np.arange(t0, t0 + steps)[:, None] + begin[:live])[goes_on]
+                inputs = np.ascontiguousarray(table.take(before.take(at), axis=0).T)
+                states, start = np.empty((HIDDEN, len(at)), np.float32), 0
+                with np.errstate(over="ignore"):
+                    for n in goes_on.sum(axis=1).tolist():
+                        here, h = slice(start, start + n), h[:, :n]
+                        a = weights @ h
+                        zr, c = a[: 2 * HIDDEN], a[2 * HIDDEN :]
+                        zr += inputs[: 2 * HIDDEN, here]
+                        _logistic(zr)
+                        c *= zr[HIDDEN:]
+                        c += inputs[2 * HIDDEN :, here]
+                        _logistic(c, 2)
+                        c -= 1
+                        step = h - c
+                        step *= zr[:HIDDEN]
+                        h = np.add(c, step, out=states[:, here])
+                        start += n
+                lp = self._log_probs(states.T, flat.take(at))
+                total[np.asarray(part[:live])] += np.bincount(np.nonzero(goes_on)[1], lp, live)
+                t0 += steps
         return total
 
     def gradient(self, x: np.ndarray, y: np.ndarray, state: np.ndarray | None = None) -> tuple[float, np.ndarray]:
@@ -155,72 +183,81 @@ class Gru:
         b, steps = x.shape
         p, flat = self.p, np.zeros_like(self.flat)
         g = self._views(flat)
-        h = np.zeros((b, HIDDEN), np.float32) if state is None else state.copy()
-        goes_on = (x.T != N_SYMBOLS).astype(np.float32)[:, :, None]
-        if self.room is None or self.room[0].shape[:2] != (steps, b):
-            self.room = [np.empty((steps, b, width * HIDDEN), np.float32) for width in (1, 1, 1, 1, 1, 1, 1, 3)]
-        before, z, r, u, n, hs, du, da = self.room
-        for t in range(steps):
-            h0 = np.multiply(h, goes_on[t], out=before[t])
-            of = p["inputs"][x[:, t]]
-            zr = _sigmoid(of[:, : 2 * HIDDEN] + h0 @ p["gates"])
-            z[t], r[t] = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            np.matmul(h0, p["cand"], out=u[t])
-            np.tanh(of[:, 2 * HIDDEN :] + r[t] * u[t], out=n[t])
-            h = np.add(n[t], z[t] * (h0 - n[t]), out=hs[t])
+        table, weights = self._folded()
+        read = np.ascontiguousarray(x.T).reshape(-1)
+        goes_on = (x.T != N_SYMBOLS).astype(np.float32)
+        if self.room is None or self.room[0].shape[::2] != (steps, b):
+            self.room = [np.empty((steps, width * HIDDEN, b), np.float32) for width in (3, 1, 2, 1, 1, 1, 1, 4)]
+        # a column for each row of the windows, so that gates are whole runs of memory
+        inputs, before, gate, by_z, by_r, by_n, hs, da = self.room
+        inputs[:] = table.take(read, axis=0).reshape(steps, b, 3 * HIDDEN).transpose(0, 2, 1)
+        h = np.zeros((HIDDEN, b), np.float32) if state is None else state.T
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                h0 = np.multiply(h, goes_on[t], out=before[t])
+                a = weights @ h0
+                zr = _logistic(np.add(a[: 2 * HIDDEN], inputs[t, : 2 * HIDDEN], out=gate[t]))
+                z, r = zr[:HIDDEN], zr[HIDDEN:]
+                ru = np.multiply(r, a[2 * HIDDEN :], out=by_r[t])  # times -2
+                n = _logistic(ru + inputs[t, 2 * HIDDEN :], 2)
+                n -= 1
+                step = np.subtract(h0, n, out=by_z[t])
+                step *= z
+                h = np.add(n, step, out=hs[t])
+                # what the way back multiplies by
+                shut = 1 - z
+                step *= shut
+                n *= n
+                np.subtract(1, n, out=by_n[t])
+                by_n[t] *= shut
+                ru *= 0.5 * (r - 1)
         if state is not None:
-            state[:] = h
-        hall = hs.reshape(-1, HIDDEN)
-        target = y.T.reshape(-1)
+            state[:] = h.T
+        target = np.ascontiguousarray(y.T).reshape(-1)
         real = target >= 0
         weight = np.where(real, 1.0 / max(1, real.sum()), 0).astype(np.float32)
-        target = np.where(real, target, 0)
-        k, j = target // PER_CLASS, target % PER_CLASS
-        a = hall @ p["cls"]
-        a += p["cls_bias"]
-        a -= _shift(a)
-        np.exp(a, out=a)
-        a /= (a @ ONES)[:, None]
-        row = np.arange(len(k))
-        loss = -(np.log(a[row, k] + 1e-20) * weight).sum()
-        a[row, k] -= 1
-        a *= weight[:, None]
-        g["cls"][:], g["cls_bias"][:] = hall.T @ a, a.sum(axis=0)
-        dh = a @ p["cls"].T
-        order = np.argsort(k.astype(np.int16), kind="stable")
-        cut = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        sorted_h, sorted_j, sorted_w, dk = hall[order], j[order], weight[order], np.empty_like(hall)
-        q = self._within(sorted_h, cut)
-        q -= _shift(q)
-        np.exp(q, out=q)
-        q /= (q @ ONES)[:, None]
-        loss -= (np.log(q[row, sorted_j] + 1e-20) * sorted_w).sum()
-        q[row, sorted_j] -= 1
-        q *= sorted_w[:, None]
-        for c in range(CLASSES):
-            at = slice(cut[c], cut[c + 1])
-            g["within"][c], g["within_bias"][c] = sorted_h[at].T @ q[at], q[at].sum(axis=0)
-            np.matmul(q[at], p["within"][c].T, out=dk[at])
-        dh[order] += dk
-        dh = dh.reshape(steps, b, HIDDEN)
-        back = np.zeros((b, HIDDEN), np.float32)
-        gates, cand = np.ascontiguousarray(p["gates"].T), np.ascontiguousarray(p["cand"].T)
+        order, cut, states, *places = self._sorted(hs.transpose(0, 2, 1).reshape(-1, HIDDEN), np.where(real, target, 0))
+        weight, loss = weight.take(order), 0.0
+        dh_sorted, dh = np.empty((len(order), HIDDEN), np.float32), np.empty((len(order), HIDDEN), np.float32)
+        cls, within = self._outputs()
+        own_cls, own_within = np.zeros_like(cls), np.zeros_like(within)
+        for part, *logits, rows in self._logits(states, cut, cls, within):
+            for q, at in zip(logits, places, strict=True):
+                np.exp(q, out=q)
+                total, line, at = q @ ONES, q.reshape(-1), at[part] - part.start * PER_CLASS
+                loss -= (np.log(line.take(at) / total + 1e-20) * weight[part]).sum()
+                q *= (weight[part] / total)[:, None]
+                line[at] -= weight[part]
+            outer, inner = logits
+            here, d = states[part], dh_sorted[part]
+            own_cls += here.T @ outer
+            np.matmul(outer, p["cls"].T, out=d)
+            for c, at in rows:
+                own_within[c] += here[at].T @ inner[at]
+                d[at] += inner[at] @ p["within"][c].T
+        g["cls"][:], g["cls_bias"][:] = own_cls[:HIDDEN], own_cls[HIDDEN]
+        g["within"][:], g["within_bias"][:] = own_within[:, :HIDDEN], own_within[:, HIDDEN]
+        dh[order] = dh_sorted
+        dh = np.ascontiguousarray(dh.reshape(steps, b, HIDDEN).transpose(0, 2, 1))
+        back, recurrent = np.zeros((HIDDEN, b), np.float32), np.hstack([p["cand"], p["gates"]])
         for t in range(steps - 1, -1, -1):
-            d = dh[t] + back
-            shut = 1 - z[t]
-            dn = np.multiply(d * shut, 1 - n[t] * n[t], out=da[t, :, 2 * HIDDEN :])
-            np.multiply(d * (before[t] - n[t]), z[t] * shut, out=da[t, :, :HIDDEN])
-            np.multiply(dn * u[t], r[t] * (1 - r[t]), out=da[t, :, HIDDEN : 2 * HIDDEN])
-            np.multiply(dn, r[t], out=du[t])
-            back = (d * z[t] + da[t, :, : 2 * HIDDEN] @ gates + du[t] @ cand) * goes_on[t]
-        flat_before = before.reshape(-1, HIDDEN).T
-        g["gates"][:] = flat_before @ da.reshape(-1, 3 * HIDDEN)[:, : 2 * HIDDEN]
-        g["cand"][:] = flat_before @ du.reshape(-1, HIDDEN)
-        read = x.T.reshape(-1).astype(np.int16)
-        by = np.argsort(read, kind="stable")
-        read = read[by]
+            du, dz, dr, dn = da[t].reshape(4, HIDDEN, b)
+            d = np.add(dh[t], back, out=dh[t])
+            np.multiply(d, by_z[t], out=dz)
+            np.multiply(d, by_n[t], out=dn)
+            np.multiply(dn, by_r[t], out=dr)
+            np.multiply(dn, gate[t, HIDDEN:], out=du)
+            np.matmul(recurrent, da[t, : 3 * HIDDEN], out=back)
+            d *= gate[t, :HIDDEN]
+            back += d
+            back *= goes_on[t]
+        own = np.matmul(before, da[:, : 3 * HIDDEN].transpose(0, 2, 1)).sum(axis=0)
+        g["cand"][:], g["gates"][:] = own[:, :HIDDEN], own[:, HIDDEN:]
+        by = np.argsort(read.astype(np.int16), kind="stable")
+        read = read.take(by)
         edges = np.flatnonzero(np.diff(read, prepend=-1))
-        g["inputs"][read[edges]] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[by], edges, axis=0)
+        rows = da[:, HIDDEN:].transpose(0, 2, 1).reshape(-1, 3 * HIDDEN).take(by, axis=0)
+        g["inputs"][read[edges]] = np.add.reduceat(rows, edges, axis=0)
         return float(loss), flat
 
     def _adam(self, rate: float):
@@ -262,15 +299,13 @@ class Gru:
         total = sum(map(len, texts))
         if not total:
             return 0
-        flat = np.concatenate(texts).astype(np.int64)
-        x = np.empty(total, np.int64)
-        x[1:] = flat[:-1]
-        x[np.cumsum([0, *map(len, texts)])[:-1][[len(t) > 0 for t in texts]]] = N_SYMBOLS
+        flat = np.concatenate(texts)
+        x = _after(flat, np.asarray([len(t) for t in texts]))
         rows = max(1, min(streams, total // steps))
         width = -(-total // rows)
         pad = rows * width - total
-        x = np.concatenate([x, np.full(pad, END)]).reshape(rows, width)
-        y = np.concatenate([flat, np.full(pad, -1)]).reshape(rows, width)
+        x = np.append(x, np.full(pad, END, x.dtype)).reshape(rows, width)
+        y = np.append(flat, np.full(pad, -1, x.dtype)).reshape(rows, width)
         state, update = np.zeros((rows, HIDDEN), np.float32), self._adam(rate)
         for t in range(0, width, steps):
             update(self.gradient(x[:, t : t + steps], y[:, t : t + steps], state)[1])

@@ -1,7 +1,8 @@
 """Scores of whole texts under a word unigram base and a gated recurrent model of the training texts.
 
 1. Texts are dealt by a hash of their id into blocks of about ``BLOCK_BYTES``, so what a block holds does not depend on the
-   files or partitions they come from; a block's distinct training words and their counts are its share of the vocabulary.
+   files or partitions they come from. Its words are cut once and numbered: the numbered words with their counts in its
+   training texts are its share of the vocabulary, its texts go on as sequences of these numbers.
 2. Shares meet in shards keyed by word: this gives each word's corpus count, and each block gets back the counts of just
    its own words. Words with a share of ``HOT`` of the tokens or more (1 / HOT of them at most) have a row from nearly every
    block: they are summed ahead of the shuffle and given back by broadcast. No other vocabulary is broadcast or collected.
@@ -20,9 +21,9 @@ from; repeated rows are each counted and scored. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_for, body, forget, materialize, sample_ids, slices
+from .common import blocks_for, body, materialize, sample_ids, slices
 from .gru import END, N_SYMBOLS, RARE, Gru
 
 BLOCK_BYTES = 12_000_000
@@ -43,6 +44,9 @@ START_WINDOWS, START_EPOCHS, LENGTH = 6_000, 4, 32
 SHARD = 4096  # parameters averaged together
 #: Least share of the training tokens of a word that is a symbol.
 LEAST = 1 / 200_000
+#: Words of the texts that stand in one row together, a longer text alone.
+PART_WORDS = 500_000
+CODED_SCHEMA = "block int, word binary, id int, n long, doc_ids array<long>, learn array<boolean>, lengths array<long>, packed binary"
 SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, base_sum double, symbol_log10 double, rare_sum double, n_rare long"
 
 
@@ -86,23 +90,51 @@ def _unpacked(table: pa.Table) -> Iterator[tuple[int | None, bool, bytes]]:
             at += n
 
 
-def _shares(squeezed: DataFrame) -> DataFrame:
-    """(block, word, n): every distinct word of a block, with its count in the block's training texts."""
+def _code(table: pa.Table) -> pa.Table:
+    """A block's distinct words (word, its number ``id`` in the block, count ``n`` in the block's training texts), and in
+    other rows its texts as sequences of these numbers (parts numbered by ``id``), by document and text."""
+    texts = sorted(_unpacked(table), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    index: defaultdict = defaultdict(count().__next__)
+    numbers = [np.fromiter(map(index.__getitem__, w), np.int32, len(w)) for w in (words_of(t) for _, _, t in texts)]
+    docs = [r[:2] for r in texts]
+    del texts
+    of_part = np.cumsum([len(a) for a in numbers]) // PART_WORDS
+    parts = np.split(np.arange(len(docs)), np.flatnonzero(np.diff(of_part)) + 1) if docs else []
+    n, packed, squeeze = np.zeros(len(index), np.int64), [], zstandard.ZstdCompressor(level=1)
+    for part in parts:
+        own, learn = [numbers[i] for i in part], [docs[i][1] for i in part]
+        flat = np.concatenate(own)
+        n += np.bincount(flat[np.repeat(learn, list(map(len, own)))], minlength=len(n))
+        packed.append(squeeze.compress(flat))
+    block = table.column("block")[0].as_py() if table.num_rows else 0
+    words = {"block": pa.array(np.full(len(n), block, np.int32)), "word": pa.array(list(index), pa.binary()), "id": pa.array(np.arange(len(n), dtype=np.int32)), "n": pa.array(n)}
+    coded = {
+        "block": pa.array([block] * len(parts), pa.int32()),
+        "id": pa.array(range(len(parts)), pa.int32()),
+        "doc_ids": pa.array([[docs[i][0] for i in part] for part in parts], pa.list_(pa.int64())),
+        "learn": pa.array([[docs[i][1] for i in part] for part in parts], pa.list_(pa.bool_())),
+        "lengths": pa.array([[len(numbers[i]) for i in part] for part in parts], pa.list_(pa.int64())),
+        "packed": pa.array(packed, pa.binary()),
+    }
+    names = [x.split()[0] for x in CODED_SCHEMA.split(", ")]
+    return pa.concat_tables([pa.table(words), pa.table(coded)], promote_options="default").select(names)
+
+
+def _numbers(table: pa.Table) -> Iterator[tuple[int | None, bool, np.ndarray]]:
+    """(doc_id, learn, word numbers) of a block's texts, in the order that ``_code`` gave them."""
+    reader, table = zstandard.ZstdDecompressor(), table.sort_by("id")
+    for k in range(table.num_rows):
+        ids, learn, lengths = (table.column(c)[k].as_py() for c in ("doc_ids", "learn", "lengths"))
+        flat = np.frombuffer(reader.decompress(table.column("packed")[k].as_py(), max_output_size=4 * sum(lengths)), np.int32)
+        yield from zip(ids, learn, np.split(flat, np.cumsum(lengths)[:-1]), strict=True)
 
-    def run(table: pa.Table) -> pa.Table:
-        learnt: Counter = Counter()
-        seen: set[bytes] = set()
-        for _, learn, text in _unpacked(table):
-            if learn:
-                learnt.update(words_of(text))
-            else:
-                seen.update(words_of(text))
-        words = list(seen.union(learnt))
-        n = len(words)
-        block = table.column("block")[0].as_py() if table.num_rows else 0
-        return pa.table({"block": pa.array(np.full(n, block, np.int32)), "word": pa.array(words, pa.binary()), "n": pa.array([learnt[w] for w in words], pa.int64())})
 
-    return squeezed.groupBy("block").applyInArrow(run, "block int, word binary, n long")
+def _by_number(table: pa.Table, column: str, kind: type, rest: int = 0) -> np.ndarray:
+    """A column of a block's words, by their numbers; ``rest`` for numbers without a row."""
+    at = np.asarray(table.column("id"))
+    out = np.full(at.max() + 1 if len(at) else 0, rest, kind)
+    out[at] = np.asarray(table.column(column))
+    return out
 
 
 def _symbols(top: list[bytes]) -> dict[bytes, int]:
@@ -125,19 +157,22 @@ def _train_windows(batches: Iterator[pa.RecordBatch], symbols: dict[bytes, int])
 
 
 def _counted(shares: DataFrame, total: int) -> DataFrame:
-    """(block, word, n, c, blocks): each share with its word's corpus count and number of blocks."""
+    """Each share (block, word, n, maybe more) with its word's corpus count ``c`` and number of ``blocks``."""
     sums = [F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks")]
     # tasks sum their own rows first, so a word sends a row from each task, and the sums of hot words are few
     hot = shares.filter(F.col("n") > 1).groupBy("word").agg(F.sum("n").alias("most")).filter(F.col("most") >= max(2, total * HOT)).select("word")
     hot = materialize(shares.join(F.broadcast(hot), "word", "left_semi").groupBy("word").agg(*sums), "lm-hot")
     of_word = Window.partitionBy("word")  # a word has at most one row from each block
     rare = shares.join(F.broadcast(hot.select("word")), "word", "left_anti")
-    rare = rare.select("block", "word", "n", F.sum("n").over(of_word).alias("c"), F.count(F.lit(1)).over(of_word).alias("blocks"))
+    rare = rare.select(*shares.columns, F.sum("n").over(of_word).alias("c"), F.count(F.lit(1)).over(of_word).alias("blocks"))
     return rare.unionByName(shares.join(F.broadcast(hot), "word").select(rare.columns))
 
 
-def train(docs: DataFrame, squeezed: DataFrame, learn: Column, symbols: dict[bytes, int], counts: np.ndarray) -> Gru:
-    """Start on the driver, then one pass of training in every block and weighted averaging."""
+def train(docs: DataFrame, texts: DataFrame, known: DataFrame, learn: Column, symbols: dict[bytes, int], counts: np.ndarray) -> Gru:
+    """Start on the driver, then one pass of training in every block and weighted averaging.
+
+    ``texts`` are coded; ``known`` (block, id, symbol) has the words of each block that are no RARE ones.
+    """
     spark = docs.sparkSession
     model = Gru()
     model.set_frequencies(counts)
@@ -156,14 +191,13 @@ def train(docs: DataFrame, squeezed: DataFrame, learn: Column, symbols: dict[byt
     model.train(windows, epochs=START_EPOCHS)
     begun = spark.sparkContext.broadcast(model.flat)
 
-    def more(table: pa.Table) -> pa.Table:
-        texts = sorted((d, t) for d, use, t in _unpacked(table) if use)
-        words = map(words_of, (t for _, t in texts))
+    def more(table: pa.Table, words: pa.Table) -> pa.Table:
+        symbol = np.append(_by_number(words, "symbol", np.int16, RARE), np.int16(RARE))  # the last: numbers beyond
         local = Gru(begun.value)
-        n = local.train_texts([np.fromiter(map(share.value.get, w, repeat(RARE)), np.int16, len(w)) for w in words])
+        n = local.train_texts([symbol[np.minimum(a, len(symbol) - 1)] for _, use, a in _numbers(table) if use])
         total = local.flat.astype(np.float64) * n
         at = range(0, len(total), SHARD)
-        block = table.column("block")[0].as_py()
+        block = table.column("block")[0].as_py() if table.num_rows else 0
         return pa.table({"shard": pa.array(range(len(at)), pa.int32()), "block": pa.array([block] * len(at), pa.int32()), "n": pa.array([n] * len(at), pa.int64()), "total": pa.array([total[k : k + SHARD].tobytes() for k in at], pa.binary())})
 
     def average(table: pa.Table) -> pa.Table:
@@ -172,35 +206,28 @@ def train(docs: DataFrame, squeezed: DataFrame, learn: Column, symbols: dict[byt
         return pa.table({"shard": table.column("shard")[:1], "mean": pa.array([total.tobytes()], pa.binary())})
 
     schema = "shard int, block int, n long, total binary"
-    blocks = squeezed.groupBy("block").applyInArrow(more, schema).filter("n > 0")
+    blocks = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(more, schema).filter("n > 0")
     rows = blocks.groupBy("shard").applyInArrow(average, "shard int, mean binary").collect()
     if rows:
         model = Gru(np.concatenate([np.frombuffer(r[1], np.float64) for r in sorted(rows)]))
     return model
 
 
-def _score(squeezed: DataFrame, known: DataFrame, symbols: dict[bytes, int], model: Gru) -> DataFrame:
-    """SCORE_SCHEMA by block, from its texts and the corpus counts of its words."""
-    share = squeezed.sparkSession.sparkContext.broadcast((symbols, model.flat))
+def _score(texts: DataFrame, known: DataFrame, model: Gru) -> DataFrame:
+    """SCORE_SCHEMA by block, from its coded texts and its words' (block, id, c, symbol)."""
+    share = texts.sparkSession.sparkContext.broadcast(model.flat)
 
-    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        symbols, flat = share.value
-        gru = Gru(flat)
-        index = {w: k for k, w in enumerate(counts.column("word").to_pylist())}
-        c = np.asarray(counts.column("c"), dtype=np.float64) if len(index) else np.zeros(0)
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        gru = Gru(share.value)
+        c = _by_number(words, "c", np.float64)
         log_c = np.log10(c + 0.1)
-        symbol = np.full(len(c), RARE, np.int16)
-        for w, s in symbols.items():
-            if (k := index.get(w)) is not None:
-                symbol[k] = s
+        symbol = _by_number(words, "symbol", np.int16)
         rows, sequences, ids, place, first = [], [], [], [], {}
-        for doc_id, _, text in _unpacked(texts):
+        for doc_id, _, at in _numbers(texts):
             ids.append(doc_id)
-            place.append(first.setdefault(text, len(rows)))  # equal texts are scored once
+            place.append(first.setdefault(at.tobytes(), len(rows)))  # equal texts are scored once
             if place[-1] < len(rows):
                 continue
-            words = words_of(text)
-            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
             own = symbol[at]
             rare = own == RARE
             logs = log_c[at]
@@ -214,7 +241,7 @@ def _score(squeezed: DataFrame, known: DataFrame, symbols: dict[bytes, int], mod
         return pa.table([pa.array(ids, long), *(x.take(back) for x in arrays)], names=names)
 
     names = [x.split()[0] for x in SCORE_SCHEMA.split(", ")]
-    return squeezed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, SCORE_SCHEMA)
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, SCORE_SCHEMA)
 
 
 def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
@@ -222,9 +249,10 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     squeezed = _squeezed(docs, blocks_for(size, BLOCK_BYTES), learn)
-    shares = materialize(_shares(squeezed), "lm-shares")
+    coded = materialize(squeezed.groupBy("block").applyInArrow(_code, CODED_SCHEMA), "lm-coded")
+    texts = coded.filter(F.col("packed").isNotNull()).drop("word", "n")
+    shares = coded.filter(F.col("word").isNotNull()).select("block", "word", "id", "n")
     known = materialize(_counted(shares, shares.agg(F.sum("n")).first()[0] or 0), "lm-words")
-    forget(shares)
     # each word's rows add up to one
     row = known.agg(F.sum("n"), F.sum(F.when(F.col("c") > 0, 1.0 / F.col("blocks"))), F.max(F.when(F.col("word") == F.lit(END_WORD), F.col("c")))).first()
     n, v, ends = row[0] or 0, round(row[1] or 0), row[2] or 0
@@ -236,11 +264,14 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     freq = np.zeros(N_SYMBOLS)
     freq[2 : 2 + len(top)] = [r[1] for r in top]
     freq[END], freq[RARE] = ends, max(0, n - ends - sum(r[1] for r in top))
-    model = train(docs, squeezed, F.coalesce(learn, F.lit(False)), symbols, freq)
+    of_word = F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w), k) for w, k in symbols.items()], "word binary, symbol int"))
+    named_words = known.join(of_word, "word").select("block", "id", "symbol")
+    model = train(docs, texts, named_words, F.coalesce(learn, F.lit(False)), symbols, freq)
     # the base's mass of all words that are RARE, the unseen one included
     named = (ends + 0.1 if ends else 0) + sum(r[1] + 0.1 for r in top)
     rare_mass = math.log10(max(n + 0.1 * (v + 1) - named, 0.1))
-    out = _score(squeezed, known.select("block", "word", "c"), symbols, model)
+    symbol = F.coalesce("symbol", F.lit(RARE)).alias("symbol")
+    out = _score(texts, known.join(of_word, "word", "left").select("block", "id", "c", symbol), model)
     base = (F.col("base_sum") - F.col("n_tokens") * F.lit(log_all)).alias("base_score")
     score = (F.col("symbol_log10") + F.col("rare_sum") - F.col("n_rare") * F.lit(rare_mass)).alias("score")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base, score)

@@ -1,5 +1,6 @@
 import numpy as np
 
+from claimlens.llm import gru
 from claimlens.llm.gru import CLASSES, HIDDEN, PER_CLASS, Gru
 
 
@@ -22,3 +23,29 @@ def test_outputs_far_apart_do_not_underflow_and_windows_reuse_their_room():
     room = gru.room
     again, second = gru.gradient(x, y)
     assert gru.room is room and loss == again and np.array_equal(first, second)
+
+
+def test_scores_do_not_depend_on_how_many_states_go_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    made = Gru(rng.normal(0, 0.3, len(Gru().flat)))
+    texts = [rng.integers(0, CLASSES * PER_CLASS, n).astype(np.int16) for n in (300, 1, 0, 64, 65, 130, 7, 300)]
+    want = made.score(texts)
+    assert want[2] == 0 and (want[[0, 1, 3]] < 0).all()
+    for together, part in ((1, 1), (5, 3), (16, 64), (700, 50)):
+        monkeypatch.setattr(gru, "TOGETHER", together)
+        monkeypatch.setattr(gru, "PART", part)
+        assert np.allclose(made.score(texts), want, rtol=1e-5) and np.allclose(made.score(texts, together=3), want, rtol=1e-5)
+    x, y = rng.integers(0, 1025, (6, 8)), rng.integers(-1, 1024, (6, 8))
+    parts = made.gradient(x, y)
+    monkeypatch.setattr(gru, "PART", 2048)
+    whole = made.gradient(x, y)
+    assert abs(parts[0] / whole[0] - 1) < 1e-5 and np.allclose(parts[1], whole[1], atol=1e-6)
+
+
+def test_gates_beyond_the_range_of_exp_are_shut_or_open():
+    made = Gru(np.random.default_rng(7).normal(0, 0.3, len(Gru().flat)))
+    made.p["inputs"][:] = np.random.default_rng(8).choice([-500, 500], made.p["inputs"].shape)
+    texts = [np.arange(40, dtype=np.int16)]
+    with np.errstate(all="raise", under="ignore"):
+        score, (loss, slope) = made.score(texts), made.gradient(np.append(1024, texts[0][:-1])[None], texts[0][None])
+    assert np.isfinite(slope).all() and abs(-loss * 40 / score[0] - 1) < 1e-5
